@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("warc",)
+MODULES = ("best_fit_packing", "warc")
 
 
 def _all(name: str) -> dict:
