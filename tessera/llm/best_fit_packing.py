@@ -120,7 +120,7 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: Se
     """
     spark, most = docs.sparkSession, max(capacities)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"))
-    pieces = sized.select("doc_id", "total", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / most) - 1, F.lit(0)))).cast("long").alias("piece"))
+    pieces = sized.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("total") / most) - 1, F.lit(0)).cast("long"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("total") - F.col("piece") * most).alias("n_tokens"))
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))
     within = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")
