@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("best_fit_packing", "quality_rules", "secret_scans", "warc")
+MODULES = ("best_fit_packing", "quality_rules", "secret_scans", "substring_dedup", "suffix_dedup", "warc")
 
 
 def _all(name: str) -> dict:
