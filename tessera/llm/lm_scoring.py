@@ -31,7 +31,7 @@ from tessera.llm import textarrays as ta
 from tessera.llm.shared import written
 from tessera.sources.tables import table
 
-DEPTH = 6
+DEPTH = 5
 MIN_SHARE = 1e-5
 MIN_GAIN = 10.0
 #: Weight of the suffix's distribution, in symbols.
@@ -119,9 +119,9 @@ def _contexts(grams: DataFrame, total: int) -> DataFrame:
     mask = lambda depth: (1 << BITS * depth) - 1
     level = grams.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(mask(1))).alias("next"), "n")
     levels = {DEPTH: level}
-    for depth in range(DEPTH - 1, -1, -1):
+    for depth in range(DEPTH - 1, -1, -1):  # each from the one before, which is written, not counted anew
         shorter = F.col("context").bitwiseAND(F.lit(mask(depth)))
-        levels[depth] = levels[depth + 1].groupBy(shorter.alias("context"), "next").agg(F.sum("n").alias("n"))
+        levels[depth] = written(levels[depth + 1].groupBy(shorter.alias("context"), "next").agg(F.sum("n").alias("n")))
     least = max(2, MIN_SHARE * total)
     out = None
     for depth, rows in levels.items():
@@ -155,31 +155,31 @@ class SuffixTree:
         column[seen] = np.arange(len(seen))
         column[[BEFORE, NONE]] = len(seen) + 1, len(seen) + 2
         wide = len(seen) + 3
-        counts: dict[tuple[int, int], np.ndarray] = {}
+        counts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         order = np.lexsort((context, depth))
         depth, context, at, n = depth[order], context[order], column[following[order]], n[order].astype(float)
         cuts = np.flatnonzero(np.append(True, (depth[1:] != depth[:-1]) | (context[1:] != context[:-1]))) if len(depth) else np.zeros(0, int)
         for a, z in zip(cuts.tolist(), np.append(cuts, len(depth))[1:].tolist(), strict=True):
-            own = np.zeros(wide)
-            np.add.at(own, at[a:z], n[a:z])
-            counts[int(depth[a]), int(context[a])] = own
-        counts.setdefault((0, 0), np.zeros(wide))
+            counts[int(depth[a]), int(context[a])] = at[a:z], n[a:z]
+        counts.setdefault((0, 0), (at[:0], n[:0]))
         states = {(d - i, c >> BITS * i) for d, c in counts for i in range(d + 1)}  # closed under dropping the last symbol
         order = sorted(states)
         number = {s: i for i, s in enumerate(order)}
-        goes, p = np.zeros((len(order), wide), np.int32), np.zeros((len(order), wide))
+        goes, p = np.zeros((len(order), wide), np.int32), np.zeros((len(order), wide), np.float32)
         by_prefix: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for d, c in order[1:]:
             by_prefix.setdefault((d - 1, c >> BITS), []).append((column[c & ((1 << BITS) - 1)], number[d, c]))
         for i, (d, c) in enumerate(order):
             up = next((number[k, c & ((1 << BITS * k) - 1)] for k in range(d - 1, -1, -1) if (k, c & ((1 << BITS * k) - 1)) in number), None)
-            own = counts.get((d, c))
+            cols, own = counts.get((d, c), (None, None))
             if up is None:
-                p[i] = (own + 0.5) / (own.sum() + 0.5 * (END + 1))
+                p[i] = 0.5 / (own.sum() + 0.5 * (END + 1))
+                np.add.at(p[i], cols, own / (own.sum() + 0.5 * (END + 1)))
             else:
                 p[i], goes[i] = p[up], goes[up]
                 if own is not None:
-                    p[i] = (own + SMOOTHING * p[up]) / (own.sum() + SMOOTHING)
+                    p[i] *= SMOOTHING / (own.sum() + SMOOTHING)
+                    np.add.at(p[i], cols, own / (own.sum() + SMOOTHING))
             for col, to in by_prefix.get((d, c), ()):
                 goes[i, col] = to
         p[:, column[[BEFORE, NONE]]] = 1.0
@@ -187,7 +187,7 @@ class SuffixTree:
         start = 0
         for _ in range(DEPTH):
             start = int(goes[start, column[BEFORE]])
-        return cls(column, goes, np.log10(p).astype(np.float32), start)
+        return cls(column, goes, np.log10(p, out=p), start)
 
     def score(self, text: pa.Array) -> np.ndarray:
         """log10 probability of each text: of its bytes in order and its end."""
@@ -229,10 +229,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     words, grams = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), F.col("n").alias("c")), counts.filter(F.col("kind") == GRAM)
     w = words.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     g = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.coalesce(F.sum(F.when(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) == END, F.col("n"))), F.lit(0)).alias("ends")).first()
-    c = _contexts(grams, g.symbols).toPandas()
-    tree = SuffixTree.build(*(c[x].to_numpy(np.int64) for x in ("depth", "context", "next", "n")))
-    head = words.orderBy(F.desc("c"), "h").limit(HEAD).toPandas().sort_values("h")
-    return Model(tree, head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
+    c = _contexts(grams, g.symbols).toArrow()
+    tree = SuffixTree.build(*(c[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
+    head = words.orderBy(F.desc("c"), "h").limit(HEAD).toArrow().sort_by("h")
+    return Model(tree, head["h"].to_numpy(), head["c"].to_numpy(), g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
