@@ -10,8 +10,10 @@ same anchor form a block, and a text becomes a short list of blocks.
    holds for a block that occurs twice among unequal ones. One row decides them all.
 3. What is left are single blocks beside other blocks of their anchor, as at the
    edge of a copied passage. Their units are fetched, one block for each content,
-   and compared unit by unit; where an anchor has very many contents, their single
-   windows are counted instead, so no task holds an unbounded group.
+   and compared unit by unit. Where an anchor has very many contents, short stretches
+   of windows take the place of blocks, grouped by what all their windows share, and
+   what is then still many is counted window by window; so no task holds an unbounded
+   group.
 
 Only sums and narrow rows meet in a shuffle by anchor. Texts are shuffled once, by
 a hash of id and text, to meet what was found about them.
@@ -35,6 +37,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Contents of an anchor that are compared pairwise in one task; more are counted window by window.
 COMPARED = 48
+#: Windows in a short stretch at most.
+STRETCH = 16
 
 BLOCK = "a long, b long, key long, start int, n int, off int"
 ELEMENT = "struct<a: long, b: long, many: boolean, single: boolean, at: int, off: int, units: binary>"
@@ -59,6 +63,11 @@ class Units:
         """K-grams in a window."""
         return self.window - self.k + 1
 
+    @property
+    def stretch(self) -> int:
+        """Windows in a short stretch: few enough for a core of most of a window."""
+        return max(1, min(STRETCH, self.window // 4))
+
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -271,22 +280,75 @@ def _compare(u: Units) -> Callable:
     return run
 
 
+def _hash(units: np.ndarray, seed: int = 1) -> Hasher:
+    return Hasher(ta.mixed(units.astype(np.uint64) + np.uint64(seed)))
+
+
+def _stretches(u: Units) -> Callable:
+    """Short stretches of a block's windows as blocks of their own.
+
+    A stretch has the windows whose anchor lies in one range of places. All of them
+    share a core, which stands in for the anchor.
+    """
+    names, wide = ["a", "b", "key", "single", "at", "off", "units"], u.stretch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["units"], u.dtype)
+                hasher, off = _hash(own), row["off"]
+                far = off - (len(own) - u.window)  # the anchor's place in the last window
+                for c in range(far // wide, off // wide + 1):
+                    high, low = min(off, c * wide + wide - 1), max(far, c * wide)
+                    first, last = off - high, off - low
+                    core = off - c * wide
+                    ends = np.array([[core, core + u.window - wide + 1], [first, last + u.window]])
+                    shared, all_ = hasher.of(ends[:, 0], ends[:, 1])
+                    tag = ta.mixed(np.array([(row["a"] + c) & 0xFFFFFFFFFFFFFFFF, high * 65536 + low], np.uint64))
+                    a, b = ta.mixed(np.array([shared, all_]) + tag).view(np.int64).tolist()
+                    out.append((a, b, row["key"], row["single"], row["at"], high, own[first : last + u.window].tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
 def _windows(u: Units) -> Callable:
     """Two hashes of each window of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = np.frombuffer(row["units"], u.dtype).astype(np.uint64)
+                own = np.frombuffer(row["units"], u.dtype)
                 n = len(own) - u.window + 1
                 at = np.arange(n)
-                h = [ta.mixed(Hasher(ta.mixed(own + np.uint64(seed))).of(at, at + u.window)).view(np.int64) for seed in (1, 1 << 20)]
+                h = [ta.mixed(_hash(own, seed).of(at, at + u.window)).view(np.int64) for seed in (1, 1 << 20)]
                 start = row["at"] - row["off"] + at
                 yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, row["key"])), pa.array(start.astype(np.int32)), pa.array(np.full(n, row["single"])), pa.array(np.full(n, row["b"]))], names=["h", "g", "key", "start", "single", "b"])
 
     return run
 
 
+def _spans_of_many(u: Units, elements: DataFrame) -> DataFrame:
+    """(key, a, z) of repeats in single blocks of anchors with many contents."""
+    rows = "a long, b long, key long, single boolean, at int, off int, units binary"
+    short = written(elements.mapInArrow(_stretches(u), rows))
+    contents = written(short.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.struct("key", "at")).alias("chosen")))
+    cores = written(contents.groupBy("a").agg(F.count("*").alias("contents"), F.sum("times").alias("total")).filter("total > 1").select("a", "contents"))
+    contents = written(contents.join(cores, "a"))
+    short = short.join(contents, ["a", "b"])
+    alike = short.filter("single AND times > 1").select("key", (F.col("at") - F.col("off")).alias("a"), (F.col("at") - F.col("off") + F.octet_length("units") / np.dtype(u.dtype).itemsize).cast("int").alias("z"))
+    rest = short.filter((F.col("contents") > 1) & (F.struct("key", "at") == F.col("chosen"))).withColumn("single", F.col("single") & (F.col("times") == 1))
+    few = rest.filter(F.col("contents") <= COMPARED).select("key", "a", "b", "single", "at", "off", "units")
+    few = few.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_compare(u), "key long, a int, z int")
+    counted = written(rest.filter(F.col("contents") > COMPARED).mapInArrow(_windows(u), "h long, g long, key long, start int, single boolean, b long"))
+    twice = written(counted.groupBy("h", "g").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low <> high").select("h", "g"))
+    counted = counted.filter("single").join(twice, ["h", "g"]).select("key", F.col("start").alias("a"), (F.col("start") + u.window).alias("z"))
+    return alike.unionByName(few).unionByName(counted)
+
+
 def _complete(u: Units, digest: Callable[[bytes], bytes]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,15 +369,16 @@ def without_repeats(docs: DataFrame, u: Units, id_col: str, text_col: str, diges
     kind = docs.schema["id"].dataType.simpleString()
     found = written(docs.select("key", "text").mapInArrow(_emit_blocks(u), BLOCK))
 
-    groups = found.groupBy("a").agg(F.count("*").alias("total"), (F.min("b") == F.max("b")).alias("alike")).filter("total > 1").select("a", "alike")
+    # Sides of joins that are aggregated by the join's key are written first: Spark then splits a hot key of the other side.
+    groups = written(found.groupBy("a").agg(F.count("*").alias("total"), (F.min("b") == F.max("b")).alias("alike")).filter("total > 1").select("a", "alike"))
     hits = written(found.join(groups, "a"))
     row = lambda sure, fetch, many: F.struct("a", "b", "start", "n", "off", sure.alias("sure"), fetch.alias("fetch"), many.alias("many"))
     no, yes = F.lit(False), F.lit(True)
     alike = hits.filter("alike").select("key", row(yes, no, no).alias("x"))
     unlike = hits.filter("NOT alike")
-    contents = unlike.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("chosen"))
-    anchors = contents.groupBy("a").agg((F.count("*") > COMPARED).alias("many"), (F.min("times") == 1).alias("open"))
-    contents = contents.join(anchors, "a").select("a", "b", "times", "chosen", "many", "open")
+    contents = written(unlike.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("chosen")))
+    anchors = written(contents.groupBy("a").agg((F.count("*") > COMPARED).alias("many"), (F.min("times") == 1).alias("open")))
+    contents = written(contents.join(anchors, "a").select("a", "b", "times", "chosen", "many", "open"))
     mixed = unlike.join(contents, ["a", "b"]).select(
         "key", row(F.col("times") > 1, F.col("open") & (F.struct("key", "start") == F.col("chosen")), F.col("many")).alias("x")
     )
@@ -328,9 +391,7 @@ def without_repeats(docs: DataFrame, u: Units, id_col: str, text_col: str, diges
     )
     elements = settled.select("key", F.explode("elements").alias("e")).select("key", "e.*")
     compared = elements.filter("NOT many").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_compare(u), "key long, a int, z int")
-    counted = elements.filter("many").mapInArrow(_windows(u), "h long, g long, key long, start int, single boolean, b long")
-    twice = counted.groupBy("h", "g").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low <> high").select("h", "g")
-    counted = counted.filter("single").join(twice, ["h", "g"]).select("key", F.col("start").alias("a"), (F.col("start") + u.window).alias("z"))
+    counted = _spans_of_many(u, elements.filter("many").select("a", "key", "single", "at", "off", "units"))
     more = compared.unionByName(counted).groupBy("key").agg(F.collect_list(F.struct("a", "z")).alias("more"))
     late = settled.filter("rest IS NOT NULL").select("key", "id", "rest", "spans").join(more, "key", "left").mapInArrow(_complete(u, digest), f"id {kind}, {RESULT}")
     return settled.filter("rest IS NULL").select("id", *[x.split()[0] for x in RESULT.split(", ")]).unionByName(late)
