@@ -12,10 +12,11 @@ empty segments than spares indexes those.
 
 Sets that share a key form a group. Each is compared with the least of its group, its
 centre. A set that isn't linked to the centre may be linked to other members: such
-pairs must have common elements in their differences to the centre, more than half of
-the smaller difference, so a prefix filter over the differences makes smaller groups
-for the next round. Rounds end when no group is left; no pair is skipped. A group
-costs a comparison per member and round, not one per pair.
+pairs must have common elements in their differences to the centre, about half of them
+or all but a few, so a prefix filter over the differences makes smaller groups
+for the next round, of which those with few members are settled pair by pair. Rounds end when
+no group is left; no pair is skipped. A large group costs a comparison per member
+and round, not one per pair.
 
 Equal sets are one class from the start. Null and empty texts have no shingles and
 link with nothing. A row with a null id links with nothing and has a null component.
@@ -42,6 +43,8 @@ from tessera.sources.tables import table
 BAND = 1.5
 #: Chance that two sets of a band share an element, and the cost of comparing two sets in index rows, for the cost model.
 CHANCE, COMPARE = 0.02, 50.0
+#: Members of an unresolved group whose pairs are all compared; larger groups get a centre and another round.
+SMALL = 16
 #: Characters of a word, about.
 CHARS = 6
 #: Rows up to which a list of keys is broadcast; beyond, texts are shuffled to meet it.
@@ -194,16 +197,18 @@ def _profile(m: Measure, bands: Layout):
 def _prefixes(m: Measure, x: np.ndarray, c: np.ndarray, common: int, linked: bool) -> tuple[np.ndarray, np.ndarray]:
     """Leading elements of the difference of x to its centre c: (against unlinked members, against linked ones).
 
-    Elements that c lacks come first, in one order for all members. An unlinked set
-    shares more than half of a member's difference, adjusted by size; a linked one
-    shares all by which an unlinked difference exceeds the greatest permitted.
+    Elements that c lacks come first, in one order for all members. Linked sets share all
+    by which either difference exceeds the greatest permitted; if one of them isn't
+    linked to c, they also share more than half of the other's difference, adjusted by
+    size.
     """
     size = len(x) + len(c) - 2 * common
     half = math.floor((size + m.share * (len(c) - len(x))) / 2 - 1e-9) + 1
     full = max(1, math.ceil(size - len(x) * (m.q - m.p) / m.p - 1e-9))
     order = np.concatenate([np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)])
-    to_half, to_full = order[: max(0, size - max(1, half) + 1)], order[: max(0, size - full + 1)]
-    return (order[:0], to_half) if linked else (to_half, to_full)
+    if linked:
+        return order[:0], order[: max(0, size - max(1, half) + 1)]
+    return order[: max(0, size - max(half, full) + 1)], order[: max(0, size - full + 1)]
 
 
 def _verify(m: Measure):
@@ -217,13 +222,13 @@ def _verify(m: Measure):
             cuts = np.searchsorted(of[order], np.arange(len(text) + 1))
             key = key[order]
             out: list[tuple] = []
-            for i, (centre, member, c_text) in enumerate(zip(part["centre"].to_pylist(), part["sig"].to_pylist(), part["centre_text"], strict=True)):
+            for i, (centre, member, last, c_text) in enumerate(zip(part["centre"].to_pylist(), part["sig"].to_pylist(), part["last"].to_pylist(), part["centre_text"], strict=True)):
                 if held is None or held[0] != centre:
                     held = centre, np.sort(shingles(m, pa.array([c_text.as_py()], pa.string()))[0])
                 x, c = key[cuts[i] : cuts[i + 1]], held[1]
                 common = len(np.intersect1d(x, c, assume_unique=True))
                 linked = m.links(common, len(x), len(c))
-                free, bound = _prefixes(m, x, c, common, linked)
+                free, bound = (x[:0], x[:0]) if last else _prefixes(m, x, c, common, linked)
                 out.append((centre, member, linked, free.view(np.int64), bound.view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["centre", "sig", "linked", "free", "bound"])
@@ -231,16 +236,31 @@ def _verify(m: Measure):
     return run
 
 
-def _pairs(groups: DataFrame, both: bool) -> DataFrame:
-    """(centre, sig) of groups with several members; with ``both``, only of those that could hold a link."""
-    sums = [F.min("sig").alias("centre"), F.max("sig").alias("other")]
-    if both:
-        sums += [F.max("linked").alias("some"), F.min("linked").alias("all"), F.first("kind").alias("kind")]
-    centres = groups.groupBy("key").agg(*sums).filter("centre < other")
-    if both:
-        centres = centres.filter("kind = 'free' OR (some AND NOT all)")
+def _pairs(index: DataFrame) -> DataFrame:
+    """(centre, sig, last) of the members of each key's group and its least one."""
+    centres = index.groupBy("key").agg(F.min("sig").alias("centre"), F.max("sig").alias("other")).filter("centre < other")
     centres = written(centres.select("key", "centre"))  # a plain side: a hot key of the other can be split
-    return groups.select("key", "sig").join(centres, "key").filter("sig <> centre").select("centre", "sig").distinct()
+    return index.join(centres, "key").filter("sig <> centre").select("centre", "sig").distinct().withColumn("last", F.lit(False))
+
+
+def _refined(groups: DataFrame) -> DataFrame:
+    """(centre, sig, last) for groups of unresolved members; pairs of small groups are all there and the last of them.
+
+    Groups with the same members count once. ``bound`` groups lack links only
+    between members that are linked to their common centre and members that aren't.
+    """
+    sums = groups.groupBy("key").agg(
+        F.min("sig").alias("centre"), F.max("sig").alias("other"), F.max("linked").alias("some"), F.min("linked").alias("all"),
+        F.first("kind").alias("kind"), F.count("*").alias("size"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"),
+    )
+    sums = sums.filter("centre < other AND (kind = 'free' OR (some AND NOT all))")
+    sums = written(sums.groupBy("members", "size", "kind", "centre").agg(F.min("key").alias("key")).select("key", "centre", "size"))
+    own = groups.select("key", "sig", "linked", "kind").join(sums, "key")
+    star = own.filter((F.col("size") > SMALL) & (F.col("sig") != F.col("centre"))).select("centre", "sig", F.lit(False).alias("last"))
+    small = written(own.filter(F.col("size") <= SMALL))
+    other = small.select("key", F.col("sig").alias("centre"), F.col("linked").alias("its"))
+    every = small.select("key", "sig", "linked", "kind").join(other, "key").filter("centre < sig AND (kind = 'free' OR linked <> its)").select("centre", "sig", F.lit(True).alias("last"))
+    return star.unionByName(every).groupBy("centre", "sig").agg(F.min("last").alias("last"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,7 +305,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     profiles = written(docs.mapInArrow(_profile(m, bands), f"row long, id {kind}, n long, sig long, keys array<long>"))
     rows = profiles.select("row", "id", "n", "sig")
     own = profiles.filter("id IS NOT NULL AND n > 0")
-    pairs = written(_pairs(own.select("sig", F.explode("keys").alias("key")), False))
+    pairs = written(_pairs(own.select("sig", F.explode("keys").alias("key"))))
     texts, links, rounds = None, [], 0
     while not pairs.isEmpty():
         rounds += 1
@@ -300,7 +320,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
         compared = written(compared)
         links.append(compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
         part = lambda kind: compared.select("sig", "linked", F.lit(kind).alias("kind"), F.explode(kind).alias("e"), "centre").select(F.xxhash64("centre", "e", F.lit(kind)).alias("key"), "sig", "linked", "kind")  # noqa: B023, E731
-        pairs = written(_pairs(part("free").unionByName(part("bound")), True))
+        pairs = written(_refined(part("free").unionByName(part("bound"))))
     empty = rows.sparkSession.createDataFrame([], "a long, b long")
     return Join(rows, reduce(DataFrame.unionByName, links, empty), rounds)
 
