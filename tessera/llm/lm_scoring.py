@@ -217,6 +217,7 @@ class Model:
     tree: SuffixTree
     head: np.ndarray
     head_counts: np.ndarray
+    complete: bool
     ends: int
     tokens: int
     distinct: int
@@ -231,8 +232,16 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     g = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.coalesce(F.sum(F.when(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) == END, F.col("n"))), F.lit(0)).alias("ends")).first()
     c = _contexts(grams, g.symbols).toArrow()
     tree = SuffixTree.build(*(c[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
-    head = words.orderBy(F.desc("c"), "h").limit(HEAD).toArrow().sort_by("h")
-    return Model(tree, head["h"].to_numpy(), head["c"].to_numpy(), g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
+    # The least count from which there are at most HEAD words, to a few per cent: no sort, and at most HEAD rows come here.
+    step = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(F.log2(F.col("c") / 256.0) * 32))
+    least, held = 0, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+        if held + r.n > HEAD:
+            least = r.step + 1
+            break
+        held += r.n
+    head = words.filter(step >= least).toArrow().sort_by("h")
+    return Model(tree, head["h"].to_numpy(), head["c"].to_numpy(), least == 0, g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +261,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
             n_known = ta.per_text(known[ids], offsets)
             if m.ends:
                 log, n_known = log + np.log10(m.ends + 1.0), n_known + 1
-            rare = ~known[ids] if len(m.head) == HEAD else np.zeros(len(ids), bool)  # with fewer words the head has them all
+            rare = np.zeros(len(ids), bool) if m.complete else ~known[ids]
             of = ta.owner(offsets)[rare]
             at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(text)))]).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(at), pa.array(h[ids[rare]]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("best_fit_packing", "jaccard_join", "lm_scoring", "quality_rules", "secret_scans", "substring_dedup", "suffix_dedup", "warc")
+MODULES = ("best_fit_packing", "decontamination", "html_extraction", "jaccard_join", "lm_scoring", "quality_rules", "secret_scans", "substring_dedup", "suffix_dedup", "warc")
 
 
 def _all(name: str) -> dict:
