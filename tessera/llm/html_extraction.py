@@ -33,7 +33,7 @@ from tessera.llm.shared import bounded_sample
 from tessera.sources.tables import table
 
 TRAIN_PAGES = 300
-TREES, LEVELS, RATE, BINS = 80, 4, 0.3, 24
+TREES, LEVELS, RATE, BINS = 100, 4, 0.3, 24
 
 # Fixed vocabularies of HTML: elements by their role.
 SKIPPED = frozenset("script style noscript template svg math title textarea iframe object select option canvas audio video head".split())
@@ -71,7 +71,7 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 WORD = re.compile(r"[a-z]+")
 FEATURES = (
     *(f"is_{k}" for k in KINDS), *(f"has_{k}" for k in TOKENS), *(f"under_{k}" for k in KINDS), *(f"under_has_{k}" for k in TOKENS),
-    "depth", "chars", "link_share", "chars_per_tag", "texts", "share_of_parent", "place", "siblings", "text_siblings", "share_of_page",
+    "within_article", "within_other", "depth", "chars", "link_share", "chars_per_tag", "texts", "share_of_parent", "place", "siblings", "text_siblings",
 )
 
 
@@ -156,11 +156,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, pieces
 
 
+#: Columns of kinds and tokens that speak for the article, and of those that speak for something else.
+_ROLES = (
+    [k for k, name in enumerate((*KINDS, *TOKENS)) if name in ("article", "content")],
+    [k for k, name in enumerate((*KINDS, *TOKENS)) if name not in ("article", "content", "box", "list", "text", "heading")],
+)
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
     kinds, tokens = len(KINDS), len(TOKENS)
     x = np.zeros((len(nodes), len(FEATURES)), np.float32)
-    page, base = max(1, nodes[0].chars), 2 * (kinds + tokens)
+    base = 2 * (kinds + tokens)
+    of_article, of_others = _ROLES
     for k, node in enumerate(nodes):
         row = x[k]
         row[KIND_OF[node.tag]] = 1
@@ -172,9 +180,11 @@ def features(nodes: list[Node]) -> np.ndarray:
             above = x[node.parent]
             row[kinds + tokens : base] = np.maximum(above[kinds + tokens : base], above[: kinds + tokens])
         beside = up.children if k else [0]
+        named = np.maximum(row[: kinds + tokens], row[kinds + tokens : base])
         row[base:] = (
+            named[of_article].any(), named[of_others].any(),
             node.depth, np.log1p(node.chars), node.linked / max(1, node.chars), np.log1p(node.chars / node.tags), np.log1p(node.texts),
-            node.chars / max(1, up.chars), beside.index(k) / len(beside) if len(beside) < 64 else 0.5, np.log1p(len(beside)), np.log1p(up.texts), node.chars / page,
+            node.chars / max(1, up.chars), beside.index(k) / len(beside) if len(beside) < 64 else 0.5, np.log1p(len(beside)), np.log1p(up.texts),
         )
     return x
 
@@ -207,7 +217,8 @@ class BoostedTrees:
                 width, first = 1 << level, (1 << level) - 1
                 best, new = np.full(width, 1e-6), np.zeros(len(y), np.int64)
                 chosen = [(0, np.inf, BINS + 1)] * width
-                for f, e in enumerate(edges):
+                for f in range(t % 2, len(edges), 2):  # half of the features, by turns: no kind of evidence crowds out another
+                    e = edges[f]
                     if not len(e):
                         continue
                     n = len(e) + 1

@@ -15,7 +15,7 @@ SCHEMA = "page_id long, url string, html string, text string, id string"
 def trained():
     import pyarrow.parquet as pq
 
-    pages = pq.read_table(f"{SF}/pages.parquet").slice(0, 60)
+    pages = pq.read_table(f"{SF}/pages.parquet").slice(0, 180)
     x, y = [], []
     for i, page in zip(pages["page_id"].to_pylist(), pages["html"].to_pylist(), strict=True):
         rnd = random.Random(str(i))
@@ -44,7 +44,7 @@ def test_held_out_dressings(trained):
     import pyarrow.parquet as pq
 
     exact = n = 0
-    for page in pq.read_table(f"{SF}/pages.parquet").slice(60, 60)["html"].to_pylist():
+    for page in pq.read_table(f"{SF}/pages.parquet").slice(180, 60)["html"].to_pylist():
         rnd = random.Random(page[:200])
         one = h.dressed(page, rnd)
         nodes, pieces = h.parse(one)
