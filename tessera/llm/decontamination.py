@@ -10,7 +10,8 @@ Only the benchmark's seeds are broadcast, in blocks of at most ``BLOCK_SEEDS`` r
 so a document meets them without a shuffle; what is shuffled are verified hits.
 Everything runs in built-in functions.
 
-Tokens are runs of letters and digits in lower case. Items shorter than a window must
+Tokens are runs of characters other than white space and ASCII punctuation, in lower
+case. Items shorter than a window must
 occur whole and unchanged; those of fewer than ``MIN_TOKENS`` tokens are left out, as
 are null and empty items. Null and empty documents hold nothing. Rows that share an
 id count as one document. An empty table on either side gives no rows.
@@ -32,50 +33,65 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 MIN_TOKENS = 5
 #: Seeds that are sent to every task at once.
 BLOCK_SEEDS = 500_000
+#: Tokens that the longest mask spans.
 SPAN = max(max(m) for m in MASKS) + 1
+#: Characters between tokens.
+SEPARATORS = "\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the tokens of a text."""
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+    """The tokens of a text."""
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " " * len(SEPARATORS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _around(array: Column, place: Column, before: int) -> Column:
+def _around(array: Column, place: Column, before: Column) -> Column:
     """The tokens of all windows around a seed at a place from 1; null beyond the ends."""
-    return F.transform(F.sequence(place - 1 - before, place - 2 + WINDOW), lambda k: F.get(array, k))
+    return F.transform(F.sequence(place - 1 - before, place - 2 + WINDOW), lambda k: F.get(array, k.cast("int")))
 
 
 def _seed(array: Column, place: Column, mask: tuple[int, ...], number: int) -> Column:
     return F.xxhash64(F.lit(number), *[F.element_at(array, (place + k).cast("int")) for k in mask])
 
 
+def _places(array: Column, length: int) -> Column:
+    """Places from 1 of stretches of this length; null, so no row on explosion, where there is none."""
+    return F.when(F.size(array) >= length, F.sequence(F.lit(1), F.size(array) - (length - 1)))
+
+
 def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(seed, item, place, around): the seeds of items of a window or more, each with the tokens of all windows around it."""
+    """(seed, item, before, around): the seeds of items of a window or more, each with the tokens of all windows around it."""
     own = items.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("t")).filter(F.size("t") >= WINDOW)
     out = []
     for number, mask in enumerate(MASKS):
-        last = max(mask)
-        at = own.select("item", "t", F.explode(F.sequence(F.lit(1), F.size("t") - last)).alias("place"))
-        around = _around(F.col("t"), F.col("place"), WINDOW - 1 - last)
-        out.append(at.select(_seed(F.col("t"), F.col("place"), mask, number).alias("seed"), F.lit(number).alias("mask"), "item", "place", around.alias("around")))
+        before = WINDOW - 1 - max(mask)
+        at = own.select("item", "t", F.explode(_places(F.col("t"), max(mask) + 1)).alias("place"))
+        out.append(at.select(_seed(F.col("t"), F.col("place"), mask, number).alias("seed"), "item", F.lit(before).alias("before"), _around(F.col("t"), F.col("place"), F.lit(before)).alias("around")))
     return reduce(DataFrame.unionByName, out)
 
 
-def _hits(docs: DataFrame, seeds: DataFrame, mask_number: int) -> DataFrame:
-    """Verified hits of one mask: item, id, first token of the window in the document, equal tokens."""
-    mask = MASKS[mask_number]
-    last = max(mask)
-    before = WINDOW - 1 - last
-    at = docs.filter(F.size("t") >= WINDOW).select("id", "t", F.explode(F.sequence(F.lit(1), F.size("t") - last)).alias("here"))
-    at = at.withColumn("seed", _seed(F.col("t"), F.col("here"), mask, mask_number))
-    met = at.join(F.broadcast(seeds.filter(F.col("mask") == mask_number)), "seed")
-    # Windows that hold the whole seed: each starts up to ``before`` places ahead of it.
-    same = F.zip_with("around", _around(F.col("t"), F.col("here"), before), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
-    met = met.select("id", "item", "here", same.alias("same"))
-    equal = F.transform(F.sequence(F.lit(1), F.lit(before + 1)), lambda s: F.aggregate(F.slice("same", s, WINDOW), F.lit(0), lambda n, x: n + x))
-    met = met.select("id", "item", "here", equal.alias("sums")).withColumn("equal", F.array_max("sums"))
-    start = F.col("here") - before - 1 + F.array_position("sums", F.col("equal"))
-    return met.filter(F.col("equal") >= WINDOW - SUBSTITUTIONS).select("id", "item", "equal", start.cast("long").alias("start"))
+def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, item, equal, start): for each hit the first best window around it.
+
+    Hits that fall short stay in: a condition here would move into the join, whose
+    generated code then would have to copy a document's tokens for every place.
+    """
+    at = docs.select("id", "t", F.explode(_places(F.col("t"), SPAN)).alias("here"))
+    # The longest mask has the fewest places; the others get those at the end in the same row.
+    every = [_seed(F.col("t"), F.col("here"), mask, number) for number, mask in enumerate(MASKS)]
+    more = [
+        F.when(F.col("here") == F.size("t") - (SPAN - 1), _seed(F.col("t"), F.col("here") + k, mask, number))
+        for number, mask in enumerate(MASKS) for k in range(1, SPAN - max(mask))
+    ]
+    met = at.select("id", "t", "here", F.posexplode(F.array(*every, *more)).alias("nth", "seed")).join(F.broadcast(seeds), "seed")
+    shift = F.lit([0] * len(every) + [k for mask in MASKS for k in range(1, SPAN - max(mask))])
+    met = met.withColumn("here", F.col("here") + F.element_at(shift, F.col("nth") + 1))
+    same = F.zip_with("around", _around(F.col("t"), F.col("here"), F.col("before")), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+    met = met.select("id", "item", "here", "before", same.alias("same"))
+    equal = F.transform(F.sequence(F.lit(1), F.col("before") + 1), lambda s: F.aggregate(F.slice("same", s, WINDOW), F.lit(0), lambda n, x: n + x))
+    met = met.select("id", "item", "here", "before", equal.alias("sums")).withColumn("equal", F.array_max("sums"))
+    start = F.col("here") - F.col("before") - 1 + F.array_position("sums", F.col("equal"))
+    return met.select("id", "item", "equal", start.cast("long").alias("start"), F.lit(WINDOW - SUBSTITUTIONS).alias("least"))
 
 
 def _short(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,10 +101,10 @@ def _short(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Dat
     out = []
     for n in lengths:
         whole = own.filter(F.size("t") == n).select("item", F.xxhash64("t").alias("seed"), F.col("t").alias("want"))
-        at = docs.filter(F.size("t") >= n).select("id", "t", F.explode(F.sequence(F.lit(1), F.size("t") - (n - 1))).alias("here"))
+        at = docs.select("id", "t", F.explode(_places(F.col("t"), n)).alias("here"))
         at = at.select("id", "here", F.slice("t", F.col("here"), n).alias("got")).withColumn("seed", F.xxhash64("got"))
         met = at.join(F.broadcast(whole), "seed").filter("got = want")
-        out.append(met.select("id", "item", F.lit(n).alias("equal"), F.col("here").cast("long").alias("start")))
+        out.append(met.select("id", "item", F.lit(n).alias("equal"), F.col("here").cast("long").alias("start"), F.lit(n).alias("least")))
     return reduce(DataFrame.unionByName, out) if out else None
 
 
@@ -105,12 +121,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = []
     for b in range(blocks):
         block = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        found += [_hits(own, block, number) for number in range(len(MASKS))]
+        found.append(_hits(own, block))
     short = _short(own, items, item_col, item_text)
     found += [] if short is None else [short]
     hits = reduce(DataFrame.unionByName, found)
     # A hot passage hits in many documents, and many times in each: places are counted per document first.
-    places = hits.groupBy("id", "item", "start").agg(F.max("equal").alias("equal"))
+    places = hits.groupBy("id", "item", "start").agg(F.max("equal").alias("equal"), F.max("least").alias("least")).filter("equal >= least")
     return places.groupBy("id", "item").agg(F.count("*").alias("n_windows"), F.max("equal").cast("long").alias("most_equal"), F.min("start").alias("first_token"))
 
 

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def toks(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    return re.findall(r"[^\s!-/:-@\[-`{-~]+", (text or "").lower())
 
 
 def brute(docs, items):
