@@ -44,7 +44,7 @@ BAND = 1.5
 #: Chance that two sets of a band share an element, and the cost of comparing two sets in index rows, for the cost model.
 CHANCE, COMPARE = 0.02, 50.0
 #: Members of an unresolved group whose pairs are all compared; larger groups get a centre and another round.
-SMALL = 16
+SMALL = 64
 #: Characters of a word, about.
 CHARS = 6
 #: Rows up to which a list of keys is broadcast; beyond, texts are shuffled to meet it.
@@ -194,10 +194,12 @@ def _profile(m: Measure, bands: Layout):
     return run
 
 
-def _prefixes(m: Measure, x: np.ndarray, c: np.ndarray, common: int, linked: bool) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(m: Measure, x: np.ndarray, c: np.ndarray, other: np.ndarray, common: int, linked: bool) -> tuple[np.ndarray, np.ndarray]:
     """Leading elements of the difference of x to its centre c: (against unlinked members, against linked ones).
 
-    Elements that c lacks come first, in one order for all members. Linked sets share all
+    All members of c's groups have one order: first where c agrees with ``other``, one of them,
+    so that few members differ from c there; then where c itself differs from the
+    rest. Linked sets share all
     by which either difference exceeds the greatest permitted; if one of them isn't
     linked to c, they also share more than half of the other's difference, adjusted by
     size.
@@ -205,7 +207,9 @@ def _prefixes(m: Measure, x: np.ndarray, c: np.ndarray, common: int, linked: boo
     size = len(x) + len(c) - 2 * common
     half = math.floor((size + m.share * (len(c) - len(x))) / 2 - 1e-9) + 1
     full = max(1, math.ceil(size - len(x) * (m.q - m.p) / m.p - 1e-9))
-    order = np.concatenate([np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)])
+    more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+    odd_more, odd_less = np.isin(more, other, assume_unique=True), ~np.isin(less, other, assume_unique=True)
+    order = np.concatenate([more[~odd_more], less[~odd_less], more[odd_more], less[odd_less]])
     if linked:
         return order[:0], order[: max(0, size - max(1, half) + 1)]
     return order[: max(0, size - max(half, full) + 1)], order[: max(0, size - full + 1)]
@@ -215,20 +219,21 @@ def _verify(m: Measure):
     """Compares sets with their centres."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] | None = None
+        held: tuple[int, np.ndarray, np.ndarray] | None = None
         for part, text in ta.slices(batches, "text"):
             key, of = shingles(m, text)
             order = np.lexsort((key, of))
             cuts = np.searchsorted(of[order], np.arange(len(text) + 1))
             key = key[order]
             out: list[tuple] = []
-            for i, (centre, member, last, c_text) in enumerate(zip(part["centre"].to_pylist(), part["sig"].to_pylist(), part["last"].to_pylist(), part["centre_text"], strict=True)):
+            columns = [part[c].to_pylist() for c in ("centre", "sig", "last")]
+            for i, (centre, member, last, *both) in enumerate(zip(*columns, part["centre_text"], part["other_text"], strict=True)):
                 if held is None or held[0] != centre:
-                    held = centre, np.sort(shingles(m, pa.array([c_text.as_py()], pa.string()))[0])
+                    held = centre, *[np.sort(shingles(m, pa.array([t.as_py()], pa.string()))[0]) for t in both]
                 x, c = key[cuts[i] : cuts[i + 1]], held[1]
                 common = len(np.intersect1d(x, c, assume_unique=True))
                 linked = m.links(common, len(x), len(c))
-                free, bound = (x[:0], x[:0]) if last else _prefixes(m, x, c, common, linked)
+                free, bound = (x[:0], x[:0]) if last else _prefixes(m, x, c, held[2], common, linked)
                 out.append((centre, member, linked, free.view(np.int64), bound.view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["centre", "sig", "linked", "free", "bound"])
@@ -246,20 +251,22 @@ def _pairs(index: DataFrame) -> DataFrame:
 def _refined(groups: DataFrame) -> DataFrame:
     """(centre, sig, last) for groups of unresolved members; pairs of small groups are all there and the last of them.
 
-    Groups with the same members count once. ``bound`` groups lack links only
+    Groups with the same members count once, and those within one component no more.
+    ``bound`` groups lack links only
     between members that are linked to their common centre and members that aren't.
     """
     sums = groups.groupBy("key").agg(
         F.min("sig").alias("centre"), F.max("sig").alias("other"), F.max("linked").alias("some"), F.min("linked").alias("all"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
         F.first("kind").alias("kind"), F.count("*").alias("size"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"),
     )
-    sums = sums.filter("centre < other AND (kind = 'free' OR (some AND NOT all))")
+    sums = sums.filter("centre < other AND low < high AND (kind = 'free' OR (some AND NOT all))")
     sums = written(sums.groupBy("members", "size", "kind", "centre").agg(F.min("key").alias("key")).select("key", "centre", "size"))
-    own = groups.select("key", "sig", "linked", "kind").join(sums, "key")
+    own = groups.select("key", "sig", "linked", "kind", "component").join(sums, "key")
     star = own.filter((F.col("size") > SMALL) & (F.col("sig") != F.col("centre"))).select("centre", "sig", F.lit(False).alias("last"))
     small = written(own.filter(F.col("size") <= SMALL))
-    other = small.select("key", F.col("sig").alias("centre"), F.col("linked").alias("its"))
-    every = small.select("key", "sig", "linked", "kind").join(other, "key").filter("centre < sig AND (kind = 'free' OR linked <> its)").select("centre", "sig", F.lit(True).alias("last"))
+    other = small.select("key", F.col("sig").alias("centre"), F.col("linked").alias("its"), F.col("component").alias("there"))
+    every = small.select("key", "sig", "linked", "kind", "component").join(other, "key").filter("centre < sig AND component <> there AND (kind = 'free' OR linked <> its)").select("centre", "sig", F.lit(True).alias("last"))
     return star.unionByName(every).groupBy("centre", "sig").agg(F.min("last").alias("last"))
 
 
@@ -315,12 +322,15 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
             chosen = written(own.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row")))
             some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
             texts = written(docs.select("row", "text").join(some, "row").select("sig", "text").dropDuplicates(["sig"]))
-        of_centre = texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
+        others = pairs.groupBy("centre").agg(F.max("sig").alias("sig")).join(texts.withColumnRenamed("text", "other_text"), "sig")
+        of_centre = written(texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text")).join(others.select("centre", "other_text"), "centre"))
         compared = pairs.join(texts, "sig").join(of_centre, "centre").mapInArrow(_verify(m), "centre long, sig long, linked boolean, free array<long>, bound array<long>")
         compared = written(compared)
         links.append(compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
+        so_far = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("sig"), "component")
         part = lambda kind: compared.select("sig", "linked", F.lit(kind).alias("kind"), F.explode(kind).alias("e"), "centre").select(F.xxhash64("centre", "e", F.lit(kind)).alias("key"), "sig", "linked", "kind")  # noqa: B023, E731
-        pairs = written(_refined(part("free").unionByName(part("bound"))))
+        groups = part("free").unionByName(part("bound")).join(so_far, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        pairs = written(_refined(groups))
     empty = rows.sparkSession.createDataFrame([], "a long, b long")
     return Join(rows, reduce(DataFrame.unionByName, links, empty), rounds)
 
