@@ -66,7 +66,7 @@ QUERIES = {"op7_substring_dedup": op7_substring_dedup}
 ORACLES = {
     "op7_substring_dedup": rf"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), g AS (
   SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS p, ws FROM w WHERE len(ws) >= {WINDOW}
 ), h AS (
