@@ -66,4 +66,31 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_suffix_dedup": f"""
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(0, len(x) // 2 - {WINDOW - 1})) AS p, x FROM h WHERE len(x) >= {2 * WINDOW}
+), k AS (
+  SELECT doc_id, p, md5(x[2 * p + 1 : 2 * p + {2 * WINDOW}]) AS k FROM g
+), r AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1
+), s AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM r
+), m AS (
+  SELECT doc_id, p, sum(CASE WHEN b IS NULL OR p > b + {WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s
+), spans AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + {WINDOW} AS z FROM m GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, run AS o, z - a AS gone, x[2 * coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 : 2 * a] AS piece FROM spans JOIN h USING (doc_id)
+  UNION ALL
+  SELECT doc_id, max(run) + 1 AS o, 0 AS gone, any_value(x)[2 * max(z) + 1 :] AS piece FROM spans JOIN h USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY o) AS y, sum(gone) AS gone, count(*) - 1 AS runs FROM pieces GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)
+"""
+}

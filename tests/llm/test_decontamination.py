@@ -18,16 +18,17 @@ def brute(docs, items):
     out = {}
     for i, t in docs:
         x = toks(t)
+        own = set(x)
         for k, u in items:
             y = toks(u)
             starts = {}
-            if len(y) >= d.WINDOW:
+            if len(y) >= d.WINDOW and sum(w in own for w in y) >= d.WINDOW - d.SUBSTITUTIONS:
                 for a in range(len(x) - d.WINDOW + 1):
                     for b in range(len(y) - d.WINDOW + 1):
                         n = sum(p == q for p, q in zip(x[a : a + d.WINDOW], y[b : b + d.WINDOW], strict=True))
                         if n >= d.WINDOW - d.SUBSTITUTIONS:
                             starts[a] = max(starts.get(a, 0), n)
-            elif len(y) >= d.MIN_TOKENS:
+            elif d.MIN_TOKENS <= len(y) < d.WINDOW:
                 starts = {a: len(y) for a in range(len(x) - len(y) + 1) if x[a : a + len(y)] == y}
             if starts:
                 out[i, k] = max(starts.values())

@@ -49,9 +49,9 @@ def edited(rnd, words, k, new):
     return words
 
 
-@pytest.mark.parametrize(("seed", "m", "chance"), [(0, j.OP9, 0.02), (1, j.NEAR, 0.02), (2, j.Measure(1, 3, 4), 0.9), (3, j.Measure(2, 70, 100), 0.5)])
+@pytest.mark.parametrize(("seed", "m", "chance"), [(0, j.OP9, 0.02), (1, j.NEAR, 0.5), (2, j.Measure(1, 3, 4), 0.9)])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, m, chance):
-    monkeypatch.setattr(j, "CHANCE", chance); monkeypatch.setattr(j, "SMALL", [16, 2, 3, 2][seed])  # high chances of agreement make doubled segments pay
+    monkeypatch.setattr(j, "CHANCE", chance); monkeypatch.setattr(j, "SMALL", [64, 2, 3][seed])  # high chances of agreement make doubled segments pay
     rnd = random.Random(seed)
     new = lambda: f"W{rnd.randrange(400)}"
     rows, texts = [], []
