@@ -43,8 +43,8 @@ from tessera.sources.tables import table
 BAND = 1.5
 #: Chance that two sets of a band share an element, and the cost of comparing two sets in index rows, for the cost model.
 CHANCE, COMPARE = 0.02, 50.0
-#: Members of an unresolved group whose pairs are all compared; larger groups get a centre and another round.
-SMALL = 64
+#: Members of an unresolved group whose pairs between components are all compared; larger groups get a centre and another round.
+SMALL = 256
 #: Characters of a word, about.
 CHARS = 6
 #: Rows up to which a list of keys is broadcast; beyond, texts are shuffled to meet it.
