@@ -12,7 +12,7 @@ Counts of words and byte strings cover every training text. Scores by word count
 need the count of each word: the most frequent ``HEAD`` words go to every task,
 rarer ones meet their counts in a join.
 
-Null and empty texts consist of the end alone. A row with a null id is a training
+A-Z count as a-z throughout. Null and empty texts consist of the end alone. A row with a null id is a training
 row. Repeated rows count each time. Without training rows every symbol is equally
 likely. An empty table gives no rows.
 """
@@ -94,6 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     words, grams = _Sums(), _Sums()
     for _, text in ta.slices(batches, "text"):
+        text = ta.lowered(text)
         ids, distinct, _ = ta.words(text)
         n = np.bincount(ids, minlength=len(distinct))
         words.add(ta.hashes(distinct).view(np.int64)[n > 0], n[n > 0])
@@ -251,6 +252,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for part, text in ta.slices(batches, "text"):
+            text = ta.lowered(text)
             ids, distinct, offsets = ta.words(text)
             h = ta.hashes(distinct).view(np.int64)
             place = np.minimum(np.searchsorted(m.head, h), max(0, len(m.head) - 1))

@@ -90,3 +90,14 @@ def test_empty_tables(spark):
     assert m.score(none, model, words).count() == 0
     one = m.score(spark.createDataFrame([(1, "ab", None, None)], SCHEMA), model, words).first()
     assert one.score == pytest.approx(3 * math.log10(1 / 257), rel=1e-5) and one.base_score == pytest.approx(0.0) and one.n_known == 0
+
+
+def test_capitals_count_as_small_letters(spark):
+    train = spark.createDataFrame([(1, "The THE the É", None, None), (2, "AND and", None, None)], SCHEMA)
+    model, words = m.fit(train)
+    assert (model.tokens, model.distinct) == (8, 4)  # the x 3, É, and x 2, the end x 2
+    tests = spark.createDataFrame([(1, "the and É", None, None), (2, "tHe AND É", None, None), (3, "the and é", None, None)], SCHEMA)
+    got = {r.id: r for r in m.score(tests, model, words).collect()}
+    assert got[1].n_known == got[2].n_known == 4 and got[3].n_known == 3  # É is not in A-Z
+    assert got[1].base_score == got[2].base_score == pytest.approx(sum(math.log10((c + 1) / 13) for c in (3, 2, 1, 2)))
+    assert got[1].score == got[2].score
