@@ -1,12 +1,12 @@
 """Scores of texts under a probabilistic suffix tree, and under smoothed word counts.
 
 The tree predicts the next byte of a UTF-8 text, or its end, from a context of up
-to ``DEPTH`` symbols. Contexts with at least the share ``MIN_SHARE`` of all symbols
-are candidates, so there are at most DEPTH / MIN_SHARE of them whatever the corpus;
-one is retained if its next symbols diverge from those after its longest retained
-suffix by more than ``MIN_GAIN`` nats over all its occurrences. Distributions are smoothed
-towards that suffix's. An automaton whose states are the longest suffixes
-scores many stretches of text in step.
+to ``DEPTH`` symbols. Contexts that occur ``MIN_COUNT`` times are candidates, whatever
+the size of the corpus; one is retained if its next symbols diverge from those after
+its suffix by more than ``MIN_GAIN`` nats over all its occurrences. Distributions are
+smoothed towards the longest retained suffix's. The tree is a table. A context and
+its next symbol, a gram, have one probability: the most frequent ``HEAD_GRAMS`` go to
+every task, the distinct others of a block of texts meet theirs in a join.
 
 Counts of words and byte strings cover every training text. Scores by word counts
 need the count of each word: the most frequent ``HEAD`` words go to every task,
@@ -20,10 +20,11 @@ likely. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,12 @@ from tessera.llm.shared import written
 from tessera.sources.tables import table
 
 DEPTH = 5
-MIN_SHARE = 1e-5
+MIN_COUNT = 2
 MIN_GAIN = 10.0
 #: Weight of the suffix's distribution, in symbols.
 SMOOTHING = 8.0
-#: Words whose counts every task holds.
-HEAD = 1 << 18
+#: Words whose counts, and grams whose probabilities every task holds.
+HEAD, HEAD_GRAMS = 1 << 18, 1 << 19
 #: Symbols: bytes, the end of a text, what stands before its first byte, and what fills up stretches.
 END, BEFORE, NONE = 256, 257, 258
 BITS = 9
@@ -62,6 +63,16 @@ def _symbols(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def _grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(each byte or end of the texts behind the DEPTH symbols before it, packed; its text)."""
+    symbols, _ = _symbols(text)
+    packed = np.zeros(len(symbols) - DEPTH, np.int64) if len(symbols) else np.zeros(0, np.int64)
+    for d in range(DEPTH + 1):
+        packed = packed << BITS | symbols[d : len(packed) + d]
+    _, ends = ta.raw(text)
+    return packed[symbols[DEPTH:] != BEFORE], np.repeat(np.arange(len(text)), np.diff(ends) + 1)
+
+
 class _Sums:
     """Sums by key; merged when many are held."""
 
@@ -98,12 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, distinct, _ = ta.words(text)
         n = np.bincount(ids, minlength=len(distinct))
         words.add(ta.hashes(distinct).view(np.int64)[n > 0], n[n > 0])
-        symbols, _ = _symbols(text)
-        packed = np.zeros(len(symbols) - DEPTH, np.int64)
-        for d in range(DEPTH + 1):
-            packed = packed << BITS | symbols[d : len(symbols) - DEPTH + d]
-        keys, n = np.unique(packed[symbols[DEPTH:] != BEFORE], return_counts=True)
-        grams.add(keys, n)
+        grams.add(*np.unique(_grams(text)[0], return_counts=True))
         for kind, sums in ((WORD, words), (GRAM, grams)):
             if sums.held > sums.limit // 2:
                 yield from rows(kind, sums)  # a task's memory doesn't grow with its input
@@ -111,37 +117,86 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(GRAM, grams)
 
 
-def _contexts(grams: DataFrame, total: int) -> DataFrame:
-    """(depth, context, next, n) of the root and the candidates that diverge from their suffix.
+def _mask(n: int) -> int:
+    """The last ``n`` symbols of what is packed."""
+    return (1 << BITS * n) - 1
+
+
+def _contexts(grams: DataFrame) -> DataFrame:
+    """(depth, context, next, n, sum) of the root and the candidates that diverge from their suffix.
 
     A candidate is compared with the suffix one symbol shorter; what is shared by
     both is smoothed alike.
     """
-    mask = lambda depth: (1 << BITS * depth) - 1
-    level = grams.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(mask(1))).alias("next"), "n")
+    level = grams.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(_mask(1))).alias("next"), "n")
     levels = {DEPTH: level}
     for depth in range(DEPTH - 1, -1, -1):  # each from the one before, which is written, not counted anew
-        shorter = F.col("context").bitwiseAND(F.lit(mask(depth)))
+        shorter = F.col("context").bitwiseAND(F.lit(_mask(depth)))
         levels[depth] = written(levels[depth + 1].groupBy(shorter.alias("context"), "next").agg(F.sum("n").alias("n")))
-    least = max(2, MIN_SHARE * total)
     out = None
     for depth, rows in levels.items():
-        sums = rows.groupBy("context").agg(F.sum("n").alias("sum")).filter(F.col("sum") >= least)
+        sums = rows.groupBy("context").agg(F.sum("n").alias("sum")).filter(F.col("sum") >= (MIN_COUNT if depth else 1))
         rows = rows.join(sums, "context").select(F.lit(depth).alias("depth"), "context", "next", "n", "sum")
         out = rows if out is None else out.unionByName(rows)
-    out = written(out)  # bounded by the number of candidates
+    out = written(out)
     above = out.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "next", F.col("n").alias("n_up"), F.col("sum").alias("sum_up"))
     suffix = F.lit(0).cast("long")
     for depth in range(1, DEPTH + 1):
-        suffix = F.when(F.col("depth") == depth, F.col("context").bitwiseAND(F.lit(mask(depth - 1)))).otherwise(suffix)
+        suffix = F.when(F.col("depth") == depth, F.col("context").bitwiseAND(F.lit(_mask(depth - 1)))).otherwise(suffix)
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("sum") * F.col("sum_up") / F.col("n_up")))
     differ = out.filter("depth > 0").withColumn("suffix", suffix).join(above, ["depth", "suffix", "next"]).groupBy("depth", "context").agg(gain.alias("gain")).filter(F.col("gain") > MIN_GAIN)
-    return out.join(differ.select("depth", "context"), ["depth", "context"], "left_semi").unionByName(out.filter("depth = 0")).select("depth", "context", "next", "n")
+    return out.join(differ.select("depth", "context"), ["depth", "context"], "left_semi").unionByName(out.filter("depth = 0")).select("depth", "context", "next", "n", "sum")
+
+
+def _log10(grams: DataFrame, contexts: DataFrame, symbols: int) -> DataFrame:
+    """(key, log10): the probability that the longest retained suffix of its context gives each of the distinct grams."""
+    levels = {DEPTH: grams}
+    for depth in range(DEPTH - 1, -1, -1):
+        levels[depth] = written(levels[depth + 1].select(F.col("key").bitwiseAND(F.lit(_mask(depth + 1))).alias("key")).distinct())
+    p = None
+    for depth in range(DEPTH + 1):
+        there = contexts.filter(F.col("depth") == depth)
+        seen = there.select(F.shiftleft("context", BITS).bitwiseOR(F.col("next")).alias("key"), "n")
+        own, n = levels[depth].join(seen, "key", "left"), F.coalesce("n", F.lit(0))
+        if p is None:
+            p = own.select("key", ((n + 0.5) / (symbols + 0.5 * (END + 1))).alias("p"))
+            continue
+        own = own.select("key", n.alias("n"), F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(_mask(depth))).alias("up"))
+        own = own.join(there.select("context", "sum").distinct(), "context", "left").join(p.select(F.col("key").alias("up"), F.col("p").alias("p_up")), "up")
+        p = own.select("key", F.when(F.col("sum").isNull(), F.col("p_up")).otherwise((F.col("n") + SMOOTHING * F.col("p_up")) / (F.col("sum") + SMOOTHING)).alias("p"))
+    return p.select("key", F.log10("p").alias("log10"))
+
+
+def _frequent(counts: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(at most ``most`` rows, those with the greatest ``c``; whether they are all).
+
+    They are cut at the least count from which there are no more, to a few per cent: no sort.
+    """
+    step = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(F.log2(F.col("c") / 256.0) * 32))
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+        if held + r.n > most:
+            least = r.step + 1
+            break
+        held += r.n
+    return counts.filter(step >= least), least == 0
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the wanted keys, 0 for absent ones; which are there); ``keys`` ascend."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[place] == wanted
+    return np.where(there, values[place], 0), there
 
 
 @dataclass
 class SuffixTree:
-    """Automaton of the longest suffixes: next state and log10 probability by state and column of a symbol."""
+    """Automaton of the longest suffixes: next state and log10 probability by state and column of a symbol.
+
+    It holds a whole tree in memory. Queries join the tree's table instead; tests compare the two.
+    """
 
     column: np.ndarray
     goes: np.ndarray
@@ -213,9 +268,12 @@ class SuffixTree:
 
 @dataclass
 class Model:
-    """The tree and the counts of words: the most frequent here, all in ``words`` (h, c)."""
+    """The tree's table, and of grams and words the most frequent; the counts of all words are in ``words`` (h, c)."""
 
-    tree: SuffixTree
+    contexts: DataFrame | None
+    symbols: int
+    grams: np.ndarray
+    grams_log10: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
     complete: bool
@@ -231,33 +289,25 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     words, grams = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), F.col("n").alias("c")), counts.filter(F.col("kind") == GRAM)
     w = words.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     g = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.coalesce(F.sum(F.when(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) == END, F.col("n"))), F.lit(0)).alias("ends")).first()
-    c = _contexts(grams, g.symbols).toArrow()
-    tree = SuffixTree.build(*(c[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
-    # The least count from which there are at most HEAD words, to a few per cent: no sort, and at most HEAD rows come here.
-    step = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(F.log2(F.col("c") / 256.0) * 32))
-    least, held = 0, 0
-    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
-        if held + r.n > HEAD:
-            least = r.step + 1
-            break
-        held += r.n
-    head = words.filter(step >= least).toArrow().sort_by("h")
-    return Model(tree, head["h"].to_numpy(), head["c"].to_numpy(), least == 0, g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
+    contexts = written(_contexts(grams))
+    often, _ = _frequent(grams.select("key", F.col("n").alias("c")), HEAD_GRAMS)
+    often = _log10(often.select("key"), contexts, g.symbols).toArrow().sort_by("key")
+    head, complete = _frequent(words, HEAD)
+    head = head.toArrow().sort_by("h")
+    return Model(contexts, g.symbols, often["key"].to_numpy(), often["log10"].to_numpy(), head["h"].to_numpy(), head["c"].to_numpy(), complete, g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row ``id, n_tokens, n_known, base_score, score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, contexts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for part, text in ta.slices(batches, "text"):
+        m, task = sent.value, TaskContext.get().partitionId() << 32
+        for block, (part, text) in enumerate(ta.slices(batches, "text")):
             text = ta.lowered(text)
             ids, distinct, offsets = ta.words(text)
             h = ta.hashes(distinct).view(np.int64)
-            place = np.minimum(np.searchsorted(m.head, h), max(0, len(m.head) - 1))
-            known = m.head[place] == h if len(m.head) else np.zeros(len(h), bool)
-            c = np.where(known, m.head_counts[place], 0) if len(m.head) else np.zeros(len(h), np.int64)
+            c, known = _looked_up(m.head, m.head_counts, h)
             sums = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0)[ids])])
             log = sums[offsets[1:]] - sums[offsets[:-1]]
             n_known = ta.per_text(known[ids], offsets)
@@ -267,18 +317,32 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
             of = ta.owner(offsets)[rare]
             at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(text)))]).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(at), pa.array(h[ids[rare]]))
+            grams = np.unique(_grams(text)[0])
+            grams = grams[~_looked_up(m.grams, m.grams_log10, grams)[1]]
+            first = pa.ListArray.from_arrays(pa.array(np.append(0, np.full(len(text), len(grams))), pa.int32()), pa.array(grams))  # a block's grams are in its first row
             yield pa.RecordBatch.from_arrays(
-                [part["key"], part["id"], *map(pa.array, (np.diff(offsets) + 1, n_known, log)), pa.array(m.tree.score(text)), rest], names=["key", "id", "n_tokens", "head_known", "head_log", "score", "rare"]
+                [part["key"], part["id"], text, *map(pa.array, (np.diff(offsets) + 1, n_known, log)), rest, pa.array(np.full(len(text), task + block)), pa.array(np.arange(len(text))), first],
+                names=["key", "id", "text", "n_tokens", "head_known", "head_log", "rare", "block", "place", "grams"],
             )
 
+    def add(texts: pa.Table, joined: pa.Table) -> pa.Table:
+        m, joined = sent.value, joined.sort_by("key")
+        grams, of = _grams(pa.concat_arrays(texts["text"].chunks))
+        grams, back = np.unique(grams, return_inverse=True)
+        log = _looked_up(m.grams, m.grams_log10, grams)[0] + _looked_up(joined["key"].to_numpy(), joined["log10"].to_numpy(), grams)[0]  # in one of the two
+        return pa.table({"block": texts["block"], "place": texts["place"], "score": np.bincount(of, log[back], texts.num_rows)})
+
     own = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    seen = written(own.mapInArrow(run, f"key long, id {kind}, n_tokens long, head_known long, head_log double, score double, rare array<long>"))
+    seen = written(own.mapInArrow(run, f"key long, id {kind}, text string, n_tokens long, head_known long, head_log double, rare array<long>, block long, place long, grams array<long>"))
+    asked = seen.filter("place = 0").select(F.col("block").alias("of"), F.explode("grams").alias("key"))
+    joined = asked.join(written(_log10(written(asked.select("key").distinct()), model.contexts, model.symbols)), "key").select("of", "key", "log10")
+    scores = seen.select("block", "place", "text").groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(add, "block long, place long, score double")
     # Rows with one key have one text: its rare words are looked up once.
     once = seen.filter(F.size("rare") > 0).select("key", "rare").dropDuplicates(["key"])
     rare = once.select("key", F.explode("rare").alias("h")).join(words, "h").groupBy("key").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     log = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.tokens + model.distinct + 1))
-    return seen.join(rare, "key", "left").select("id", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), log.alias("base_score"), "score")
+    return seen.drop("text", "grams").join(rare, "key", "left").join(scores, ["block", "place"]).select("id", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), log.alias("base_score"), "score")
 
 
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,3 +101,23 @@ def test_capitals_count_as_small_letters(spark):
     assert got[1].n_known == got[2].n_known == 4 and got[3].n_known == 3  # É is not in A-Z
     assert got[1].base_score == got[2].base_score == pytest.approx(sum(math.log10((c + 1) / 13) for c in (3, 2, 1, 2)))
     assert got[1].score == got[2].score
+
+
+def test_contexts_count_absolutely(spark):
+    train = spark.createDataFrame([(1, "ab" * 2_000_000, None, None), (2, "qz" * 15, None, None)], SCHEMA)
+    model, words = m.fit(train)
+    one = m.score(spark.createDataFrame([(1, "qz" * 5, None, None)], SCHEMA), model, words).first()
+    assert one.score > -15  # q and z follow each other, though they are under 1e-5 of all symbols
+
+
+@pytest.mark.parametrize("head", [1 << 19, 300])
+def test_joined_scores_equal_the_automaton(spark, monkeypatch, head):
+    monkeypatch.setattr(m, "HEAD_GRAMS", head)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).cache()
+    model, words = m.fit(docs.filter(~m.is_held_out()))
+    tree = m.SuffixTree.build(*(model.contexts.toArrow()[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
+    tests = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "\u65e5\u672c never seen"), (-3, "\u65e5\u672c never seen")], "doc_id long, text string"))
+    text = {r.doc_id: (r.text or "") for r in tests.collect()}
+    got = m.score(tests, model, words).collect()
+    want = tree.score(m.ta.lowered(pa.array([text[r.id] for r in got], pa.string())))
+    assert len(got) == len(text) + 1 and [r.score for r in got] == pytest.approx(want.tolist(), rel=1e-4)
