@@ -37,6 +37,8 @@ TREES, LEVELS, RATE, BINS = 100, 4, 0.3, 24
 
 # Fixed vocabularies of HTML: elements by their role.
 SKIPPED = frozenset("script style noscript template svg math title textarea iframe object select option canvas audio video head".split())
+#: Skipped elements that, as in a browser, take the rest of the page when they aren't closed.
+RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KINDS = {
     "article": ("article", "main"),
@@ -69,6 +71,8 @@ CLOSES_P = frozenset(t for tags in KINDS.values() for t in tags) - {"td", "tr",
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: The end tag of an option may be left out: then it ends before the next tag that can't be within it.
+OPTION_END = re.compile(rf"</option\b[^>]*>|(?=</?(?:option|optgroup|select|datalist|{'|'.join(KIND_OF)})[\s/>])", re.I)
 FEATURES = (
     *(f"is_{k}" for k in KINDS), *(f"has_{k}" for k in TOKENS), *(f"under_{k}" for k in KINDS), *(f"under_has_{k}" for k in TOKENS),
     "within_article", "within_other", "depth", "chars", "link_share", "chars_per_tag", "texts", "share_of_parent", "place", "siblings", "text_siblings",
@@ -119,8 +123,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag, closes = m[2].lower(), bool(m[1])
         if tag in SKIPPED:
             if not closes and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                if end is None and tag == "head":
+                end = (OPTION_END if tag == "option" else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)).search(page, at)
+                if end is None and tag not in RAW:
                     continue
                 at = end.end() if end else size
             continue

@@ -79,3 +79,23 @@ def test_nulls_empty_repeats_and_clashes(spark, trained):
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 0), (2, 199_999), (2, 199_999)]
     none = spark.createDataFrame([], SCHEMA)
     assert h.extract(none, h.fit(none)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<datalist><option value=x></datalist>", ""),
+        ("<datalist><option value=x>drop<option value=y>drop</datalist>", "<select><option>drop</option></select>"),
+        ("<select><option>drop</option><option>drop</select>", ""),
+        ("<datalist><option>drop <b>drop</b></option></datalist>", ""),
+        ("<object data=x>", ""),
+    ],
+)
+def test_skipped_elements_without_end_tag_keep_the_page(before, after):
+    _, pieces = h.parse(f"<body>{before}<article><p>kept text</p></article>{after}</body>")
+    assert "".join(t for _, t in pieces).split() == ["kept", "text"]
+
+
+def test_raw_text_without_end_tag_takes_the_rest():
+    _, pieces = h.parse("<body><p>kept</p><script>var x = 1; <p>code</p></body>")
+    assert "".join(t for _, t in pieces).split() == ["kept"]
