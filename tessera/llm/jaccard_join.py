@@ -10,17 +10,21 @@ differences. A cost model over the number of sets in each band chooses how many.
 Empty segments say little: spare segments make up for them, and only a set with more
 empty segments than spares indexes those.
 
-Sets that share a key form a group. Each is compared with the least of its group, its
-centre. A set that isn't linked to the centre may be linked to other members: such
-pairs must have common elements in their differences to the centre, about half of them
-or all but a few, so a prefix filter over the differences makes smaller groups
-for the next round, of which those with few members are settled pair by pair. Rounds end when
-no group is left; no pair is skipped. A large group costs a comparison per member
+Sets that share a key form a group, if one of them has its own size band there. Each is
+compared with the member of its group that shares most keys in all, its centre. A set that isn't
+linked to the centre may be linked to other members: such pairs have common elements in
+their differences to the centre, about half of them or all but a few. So the
+leading elements of each difference, in one order for all members of a centre, make
+smaller groups, and a pair in one of them is compared only if what follows the common
+element can still suffice for a link and if earlier links haven't joined it. Groups
+of over ``SMALL`` members are compared with a centre of their own and enter another round. Rounds end
+when no group is left; no pair is skipped. A large group costs a comparison per member
 and round, not one per pair.
 
 Equal sets are one class from the start. Null and empty texts have no shingles and
 link with nothing. A row with a null id links with nothing and has a null component.
-Rows that share an id count as one document. An empty table gives no rows.
+Rows that share an id are documents of their own, each in the class of its text. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,25 +32,25 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
-from tessera.llm.shared import written
+from tessera.llm.shared import unused, written
 from tessera.sources.tables import table
 
 #: Ratio of the set sizes at a band's ends.
 BAND = 1.5
-#: Chance that two sets of a band share an element, and the cost of comparing two sets in index rows, for the cost model.
-CHANCE, COMPARE = 0.02, 50.0
-#: Members of an unresolved group whose pairs between components are all compared; larger groups get a centre and another round.
-SMALL = 256
-#: Characters of a word, about.
-CHARS = 6
+#: For the cost model: share of a band's sets that have a passage in common with a given one, chance that
+#: such a set holds an element of it, and the cost of comparing two sets in index rows.
+RELATED, CHANCE, COMPARE = 1e-3, 0.02, 50.0
+#: Members of an unresolved group up to which its pairs are filtered and compared; larger groups get a centre and another round.
+SMALL = 512
+#: Centres whose sets a task holds.
+CENTRES = 256
 #: Rows up to which a list of keys is broadcast; beyond, texts are shuffled to meet it.
 BROADCAST_ROWS = 1_000_000
 
@@ -108,8 +112,9 @@ class Layout:
             segments = base + spare
             held = (low + high) / 2 / segments
             rows = segments + doubled * held
-            by_chance = sets * (doubled * (1 + held) * CHANCE ** max(held - 1, 1) + (segments - doubled) * CHANCE ** max(held, 1)) / 2
-            cost = sets * (rows + COMPARE * by_chance)
+            some = lambda h: min(1.0, sets * RELATED * CHANCE**h)
+            by_chance = doubled * (1 + held) * some(max(held - 1, 1)) + (segments - doubled) * some(held)
+            cost = rows + COMPARE * by_chance
             if best is None or cost < best[0]:
                 best = cost, Band(segments, doubled, spare)
         return best[1]
@@ -141,11 +146,11 @@ def _signature(key: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return size, ta.mixed(sums + ta.mixed(size.astype(np.uint64))).view(np.int64)
 
 
-def index_keys(m: Measure, bands: Layout, key: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index key, text) for every text with a possible partner of other content."""
+def index_keys(m: Measure, bands: Layout, key: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index key, text, whether it is of the text's own band) for every text with a possible partner of other content."""
     own = band_of(size)
     lowest = np.ceil(size * m.p / m.q)
-    keys, texts = [], []
+    keys, texts, native = [], [], []
     for shift in (0, 1):
         band = own - shift
         takes = (m.differences(size) > 0) & ((shift == 0) | (lowest < np.ceil(BAND ** own.astype(float) - 1e-9)))
@@ -173,23 +178,32 @@ def index_keys(m: Measure, bands: Layout, key: np.ndarray, of: np.ndarray, size:
         less = double[cell]
         keys.append(name(sums[cell] - e, held[cell] - 1, place[cell])[less])
         texts.append(text[less])
-    return np.concatenate(keys).view(np.int64), np.concatenate(texts)
+        native.append(np.full(len(keys[-2]) + len(keys[-1]), shift == 0))
+    return np.concatenate(keys).view(np.int64), np.concatenate(texts), np.concatenate(native)
 
 
-def _profile(m: Measure, bands: Layout):
+def _profile(m: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in ta.slices(batches, "text"):
+            size, sig = _signature(*shingles(m, text), len(text))
+            yield pa.RecordBatch.from_arrays([part["row"], part["id"], pa.array(size), pa.array(sig)], names=["row", "id", "n", "sig"])
+
+    return run
+
+
+def _index(m: Measure, bands: Layout):
+    """Index rows of the distinct sets at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, text in ta.slices(batches, "text"):
             key, of = shingles(m, text)
             size, sig = _signature(key, of, len(text))
-            new = np.zeros(len(text), bool)  # one of the equal sets at hand is enough for the index
-            there = np.flatnonzero(part["id"].is_valid().to_numpy(zero_copy_only=False) & (size > 0))
+            new = np.zeros(len(text), bool)
+            there = np.flatnonzero(size > 0)
             new[there[np.unique(sig[there], return_index=True)[1]]] = True
             own = new[of]
-            keys, texts = index_keys(m, bands, key[own], of[own], np.where(new, size, 0))
-            order = np.argsort(texts, kind="stable")
-            at = np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=len(text)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order]))
-            yield pa.RecordBatch.from_arrays([part["row"], part["id"], pa.array(size), pa.array(sig), lists], names=["row", "id", "n", "sig", "keys"])
+            keys, texts, native = index_keys(m, bands, key[own], of[own], np.where(new, size, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sig[texts]), pa.array(native)], names=["key", "sig", "native"])
 
     return run
 
@@ -219,7 +233,8 @@ def _verify(m: Measure):
     """Compares sets with their centres."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray, np.ndarray] | None = None
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        one = lambda t: np.sort(shingles(m, pa.array([t.as_py()], pa.string()))[0])
         for part, text in ta.slices(batches, "text"):
             key, of = shingles(m, text)
             order = np.lexsort((key, of))
@@ -227,46 +242,55 @@ def _verify(m: Measure):
             key = key[order]
             out: list[tuple] = []
             columns = [part[c].to_pylist() for c in ("centre", "sig", "last")]
-            for i, (centre, member, last, *both) in enumerate(zip(*columns, part["centre_text"], part["other_text"], strict=True)):
-                if held is None or held[0] != centre:
-                    held = centre, *[np.sort(shingles(m, pa.array([t.as_py()], pa.string()))[0]) for t in both]
-                x, c = key[cuts[i] : cuts[i + 1]], held[1]
+            for i, (centre, member, last, c_text, o_text) in enumerate(zip(*columns, part["centre_text"], part["other_text"], strict=True)):
+                if centre not in held:
+                    if len(held) >= CENTRES:
+                        del held[next(iter(held))]
+                    held[centre] = one(c_text), one(o_text)
+                c, other = held[centre]
+                x = key[cuts[i] : cuts[i + 1]]
                 common = len(np.intersect1d(x, c, assume_unique=True))
                 linked = m.links(common, len(x), len(c))
-                free, bound = (x[:0], x[:0]) if last else _prefixes(m, x, c, held[2], common, linked)
-                out.append((centre, member, linked, free.view(np.int64), bound.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["centre", "sig", "linked", "free", "bound"])
+                free, bound = (x[:0], x[:0]) if last else _prefixes(m, x, c, other, common, linked)
+                out.append((centre, member, linked, len(x), len(x) + len(c) - 2 * common, free.view(np.int64), bound.view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["centre", "sig", "linked", "n", "d", "free", "bound"])
 
     return run
 
 
-def _pairs(index: DataFrame) -> DataFrame:
-    """(centre, sig, last) of the members of each key's group and its least one."""
-    centres = index.groupBy("key").agg(F.min("sig").alias("centre"), F.max("sig").alias("other")).filter("centre < other")
-    centres = written(centres.select("key", "centre"))  # a plain side: a hot key of the other can be split
-    return index.join(centres, "key").filter("sig <> centre").select("centre", "sig").distinct().withColumn("last", F.lit(False))
+def _stars(groups: DataFrame) -> DataFrame:
+    """(centre, sig) of the members (key, sig) of each group; its centre is the member that is in most groups."""
+    groups = written(groups)
+    often = groups.groupBy("sig").agg(F.count("*").alias("often"))
+    centres = groups.join(often, "sig").groupBy("key").agg(F.max(F.struct("often", "sig"))["sig"].alias("centre"))
+    centres = written(centres)  # a plain side: a hot key of the other can be split
+    return groups.join(centres, "key").filter("sig <> centre").select("centre", "sig").distinct()
+
+
+def _groups(index: DataFrame) -> DataFrame:
+    """(key, sig) of the keys that several sets share, one of them in its own band. A set has a key once, so no key has more than a small share of all rows."""
+    key = Window.partitionBy("key")
+    shared = index.select("key", "sig", F.min("sig").over(key).alias("low"), F.max("sig").over(key).alias("high"), F.max("native").over(key).alias("some"))
+    return shared.filter("low < high AND some").select("key", "sig").distinct()
 
 
-def _refined(groups: DataFrame) -> DataFrame:
-    """(centre, sig, last) for groups of unresolved members; pairs of small groups are all there and the last of them.
+def _refined(m: Measure, groups: DataFrame) -> DataFrame:
+    """(centre, sig, last) for groups of unresolved members.
 
-    Groups with the same members count once, and those within one component no more.
-    ``bound`` groups lack links only
+    Groups within one component count no more. ``bound`` groups lack links only
     between members that are linked to their common centre and members that aren't.
     """
-    sums = groups.groupBy("key").agg(
-        F.min("sig").alias("centre"), F.max("sig").alias("other"), F.max("linked").alias("some"), F.min("linked").alias("all"),
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.first("kind").alias("kind"), F.count("*").alias("size"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"),
-    )
-    sums = sums.filter("centre < other AND low < high AND (kind = 'free' OR (some AND NOT all))")
-    sums = written(sums.groupBy("members", "size", "kind", "centre").agg(F.min("key").alias("key")).select("key", "centre", "size"))
-    own = groups.select("key", "sig", "linked", "kind", "component").join(sums, "key")
-    star = own.filter((F.col("size") > SMALL) & (F.col("sig") != F.col("centre"))).select("centre", "sig", F.lit(False).alias("last"))
-    small = written(own.filter(F.col("size") <= SMALL))
-    other = small.select("key", F.col("sig").alias("centre"), F.col("linked").alias("its"), F.col("component").alias("there"))
-    every = small.select("key", "sig", "linked", "kind", "component").join(other, "key").filter("centre < sig AND component <> there AND (kind = 'free' OR linked <> its)").select("centre", "sig", F.lit(True).alias("last"))
+    sums = groups.groupBy("key").agg(F.max("linked").alias("some"), F.min("linked").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"), F.first("kind").alias("kind"), F.count("*").alias("size"))
+    sums = written(sums.filter("low < high AND (kind = 'free' OR (some AND NOT all))").select("key", "size"))
+    own = written(groups.join(sums, "key"))
+    star = _stars(own.filter(F.col("size") > SMALL).select("key", "sig")).withColumn("last", F.lit(False))
+    small = own.filter(F.col("size") <= SMALL)
+    other = small.select("key", *[F.col(c).alias(f"{c}_") for c in ("sig", "linked", "component", "n", "d", "rest")])
+    # What both sets have in common of their differences is the shared element and what follows it, at most.
+    suffices = 1 + F.least("rest", "rest_") >= (F.col("d") + F.col("d_") - m.share * (F.col("n") + F.col("n_"))) / 2 - 1e-9
+    pairs = small.join(other, "key").filter(suffices & F.expr("sig < sig_ AND component <> component_ AND (kind = 'free' OR linked <> linked_)"))
+    every = pairs.select(F.col("sig").alias("centre"), F.col("sig_").alias("sig")).distinct().withColumn("last", F.lit(True))
     return star.unionByName(every).groupBy("centre", "sig").agg(F.min("last").alias("last"))
 
 
@@ -288,32 +312,47 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (sig, component) after more links (a, b): components that these connect become one."""
+    if labels is None:
+        return components(links).withColumnRenamed("node", "sig")
+    of = lambda side: labels.select(F.col("sig").alias(side), F.col("component").alias(f"{side}_"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")).filter("a <> b")
+    between = written(between.distinct())
+    if between.isEmpty():
+        return labels
+    new = components(between)
+    old = labels.join(new.withColumnRenamed("component", "joined").withColumnRenamed("node", "component"), "component", "left").select("sig", F.coalesce("joined", "component").alias("component"))
+    lone = new.join(labels.select(F.col("component").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("sig"), "component")
+    return written(old.unionByName(lone))
+
+
 @dataclass
 class Join:
-    """``rows``: row, id, n, sig of each text; ``links``: pairs (a, b) of signatures of different sets."""
+    """``rows``: row, id, n, sig of each text; ``labels``: (sig, component) of the sets that link with others; None without links."""
 
     rows: DataFrame
-    links: DataFrame
+    labels: DataFrame | None
     rounds: int
 
 
 def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "text") -> Join:
-    """All links between sets of different content, as (centre, set) pairs that connect what pairs would.
+    """Components of all links between sets of different content.
 
-    A set's links to members of a group are kept as far as they are compared; sets
+    A set's links to members of a group are found as far as they join components; sets
     linked to one centre aren't compared with each other.
     """
     text = F.col(text_col)
     docs = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
-    # About how many sets each band has, from the lengths of the texts: weights for the cost model, nothing else.
-    band = F.floor(F.log(F.greatest(F.length("text") / CHARS, F.lit(1.0))) / math.log(BAND))
-    bands = Layout(m, {r.band: r.n for r in docs.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect() if r.band is not None})
     kind = docs.schema["id"].dataType.simpleString()
-    profiles = written(docs.mapInArrow(_profile(m, bands), f"row long, id {kind}, n long, sig long, keys array<long>"))
-    rows = profiles.select("row", "id", "n", "sig")
-    own = profiles.filter("id IS NOT NULL AND n > 0")
-    pairs = written(_pairs(own.select("sig", F.explode("keys").alias("key"))))
-    texts, links, rounds = None, [], 0
+    rows = written(docs.mapInArrow(_profile(m), f"row long, id {kind}, n long, sig long"))
+    own = rows.filter("id IS NOT NULL AND n > 0")
+    # How many texts each band has: weights for the cost model, nothing else.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9)
+    bands = Layout(m, {r.band: r.n for r in own.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()})
+    index = docs.filter("id IS NOT NULL").mapInArrow(_index(m, bands), "key long, sig long, native boolean")
+    pairs = written(_stars(_groups(index)).withColumn("last", F.lit(False)))
+    texts, labels, rounds = None, None, 0
     while not pairs.isEmpty():
         rounds += 1
         if texts is None:
@@ -322,23 +361,22 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
             chosen = written(own.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row")))
             some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
             texts = written(docs.select("row", "text").join(some, "row").select("sig", "text").dropDuplicates(["sig"]))
-        others = pairs.groupBy("centre").agg(F.max("sig").alias("sig")).join(texts.withColumnRenamed("text", "other_text"), "sig")
-        of_centre = written(texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text")).join(others.select("centre", "other_text"), "centre"))
-        compared = pairs.join(texts, "sig").join(of_centre, "centre").mapInArrow(_verify(m), "centre long, sig long, linked boolean, free array<long>, bound array<long>")
-        compared = written(compared)
-        links.append(compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
-        so_far = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("sig"), "component")
-        part = lambda kind: compared.select("sig", "linked", F.lit(kind).alias("kind"), F.explode(kind).alias("e"), "centre").select(F.xxhash64("centre", "e", F.lit(kind)).alias("key"), "sig", "linked", "kind")  # noqa: B023, E731
-        groups = part("free").unionByName(part("bound")).join(so_far, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        pairs = written(_refined(groups))
-    empty = rows.sparkSession.createDataFrame([], "a long, b long")
-    return Join(rows, reduce(DataFrame.unionByName, links, empty), rounds)
+        # A centre with one member has no pair beside it.
+        others = pairs.groupBy("centre").agg(F.max("sig").alias("sig"), (F.count("*") == 1).alias("alone")).join(texts.withColumnRenamed("text", "other_text"), "sig")
+        of_centre = written(texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text")).join(others.select("centre", "other_text", "alone"), "centre"))
+        compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", (F.col("last") | F.col("alone")).alias("last"), "text", "centre_text", "other_text")
+        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free array<long>, bound array<long>"))
+        labels = _joined(labels, compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
+        rest = F.col("d") - F.col("at") - 1
+        part = lambda kind: compared.select("sig", "linked", "n", "d", F.lit(kind).alias("kind"), F.posexplode(kind).alias("at", "e"), "centre").select(F.xxhash64("centre", "e", F.lit(kind)).alias("key"), "sig", "linked", "kind", "n", "d", rest.alias("rest"))  # noqa: B023, E731
+        groups = part("free").unionByName(part("bound")).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        pairs = written(_refined(m, groups))
+    return Join(rows, labels, rounds)
 
 
 def grouped(found: Join) -> DataFrame:
     """``row, id, n, component`` of each text: the least id that links reach."""
-    labels = components(found.links)
-    labelled = found.rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    labelled = found.rows.withColumn("component", F.col("sig")) if found.labels is None else found.rows.join(found.labels, "sig", "left")
     # Texts without shingles, and rows without id, stand alone.
     alone = F.col("n").eqNullSafe(0) | F.col("id").isNull()
     labelled = written(labelled.select("row", "id", "n", F.when(~alone, F.coalesce("component", "sig")).alias("class")))
@@ -359,14 +397,13 @@ def without_near_duplicates(docs: DataFrame, m: Measure = NEAR, id_col: str = "d
     keeper = written(groups.groupBy("component").agg(F.min(F.struct("id", "row")).alias("keeper"), F.count("*").alias("size")).filter("size > 1"))
     members = groups.join(keeper, "component").select("row", (F.col("row") == F.col("keeper.row")).alias("stays"))
     found = written(members.groupBy("row").agg(F.first("stays").alias("stays"), F.count("*").alias("times")).filter("NOT stays OR times > 1"))
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    row, mark = F.xxhash64(F.col(id_col), F.col(text_col)), unused(docs, "row")
     small = found.count() <= BROADCAST_ROWS
     side = lambda rows: F.broadcast(rows) if small else rows
-    names = docs.columns
-    keyed = docs.withColumn("_row_", row)
-    once = keyed.join(side(found.select(F.col("row").alias("_row_"))), "_row_", "left_anti")
-    several = keyed.join(side(found.filter("stays").select(F.col("row").alias("_row_"))), "_row_", "left_semi").dropDuplicates(["_row_"])
-    return once.unionByName(several).select(*[F.col(f"`{c}`") for c in names])
+    keyed = docs.withColumn(mark, row)
+    once = keyed.join(side(found.select(F.col("row").alias(mark))), mark, "left_anti")
+    several = keyed.join(side(found.filter("stays").select(F.col("row").alias(mark))), mark, "left_semi").dropDuplicates([mark])
+    return once.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,6 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the least hash of ``key``; the same ones on every run.
 

@@ -51,8 +51,9 @@ def edited(rnd, words, k, new):
 
 @pytest.mark.parametrize(("seed", "m", "chance"), [(0, j.OP9, 0.02), (1, j.NEAR, 0.5), (2, j.Measure(1, 3, 4), 0.9)])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, m, chance):
+    monkeypatch.setattr(j, "RELATED", 1.0)
     monkeypatch.setattr(j, "CHANCE", chance)  # high chances of agreement make doubled segments pay
-    monkeypatch.setattr(j, "SMALL", [256, 2, 3][seed])
+    monkeypatch.setattr(j, "SMALL", [512, 2, 3][seed])
     rnd = random.Random(seed)
     new = lambda: f"W{rnd.randrange(400)}"
     rows, texts = [], []
