@@ -2,8 +2,10 @@
 
 Patterns find assignments of secrets, access keys and hexadecimal runs. Two first-order Markov
 models over ASCII characters are trained on the whole corpus, one on the values
-that the patterns label as secret, one on ordinary runs outside every pattern. A
-run of key characters that no pattern covers is a secret when the log-likelihood
+that the patterns label as secret, one on ordinary runs outside every pattern. The
+labelled values of a corpus may all be hexadecimal; so that the first model knows random strings of
+any alphabet, it is mixed with equal chances of all key characters. A stretch of key characters
+that no pattern covers is a secret when the log-likelihood
 ratio of the two models exceeds the log odds of ordinary runs by a margin.
 
 Training sends only counts of character pairs, at most 2 x 128 x 128 rows, so the
@@ -40,6 +42,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 RUN, MIN_RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 16
 #: Nats by which the evidence must exceed the odds.
 MARGIN = 6.0
+#: Weight of equal chances of all key characters in the model of secrets.
+EVEN = 0.5
 
 
 def _class(chars: str) -> np.ndarray:
@@ -95,9 +99,7 @@ def find(text: pa.Array) -> tuple[Found, np.ndarray, np.ndarray]:
     covered = np.zeros(len(data) + 1, np.int64)
     np.add.at(covered, table_[:, 2], 1)
     np.add.at(covered, table_[:, 3], -1)
-    depth = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
-    runs = _runs(_RUN[data], ends, MIN_RUN)
-    runs = runs[depth[runs[:, 1]] == depth[runs[:, 0]]]
+    runs = _runs(_RUN[data] & (np.cumsum(covered)[:-1] == 0), ends, MIN_RUN)
     values = np.unique(np.array(values, np.int64).reshape(-1, 2), axis=0)
     return Found(table_, values, runs), data, ends
 
@@ -137,7 +139,8 @@ class SecretModel:
         log = []
         for one in pairs.reshape(2, 128, 128).astype(float):
             share = (one.sum(0) + 0.5) / (one.sum() + 64)  # of a character alone: what a rare row falls back to
-            log.append(np.log((one + 8 * share) / (one.sum(1, keepdims=True) + 8)))
+            log.append((one + 8 * share) / (one.sum(1, keepdims=True) + 8))
+        log = np.log([log[0], (1 - EVEN) * log[1] + EVEN * (_RUN[:128] / len(RUN))])
         odds = np.log((spans[0] + 1) / (spans[1] + 1))
         return cls((log[1] - log[0]).ravel(), max(0.0, float(odds)) + margin if spans[1] else np.inf)
 

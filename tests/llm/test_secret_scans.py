@@ -57,6 +57,25 @@ def test_held_out_strings_are_told_apart():
     assert hit[truth].mean() > 0.97 and hit[~truth].mean() < 0.01
 
 
+def test_random_strings_are_found_by_models_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = s.fit(docs)
+    rnd = random.Random(9)
+    key = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = sorted({w.lower() for r in docs.filter("doc_id % 9 = 0").collect() for w in re.findall("[A-Za-z]{3,}", r.text or "")})
+    name = lambda: "_".join(rnd.choice(words) for _ in range(4)).ljust(16, "e")
+    tests = [(key(rnd.randrange(20, 41)), True) for _ in range(1000)] + [(name(), False) for _ in range(1000)]
+    spans, _, _ = s._scanned(pa.array([f"see {x} here" for x, _ in tests]), model)
+    hit, truth = np.array([any(k == 3 for *_, k in own) for own in spans]), np.array([v for _, v in tests])
+    assert hit[truth].mean() > 0.95 and hit[~truth].mean() < 0.01
+
+
+def test_what_is_left_beside_a_base_span_is_judged():
+    model = s.SecretModel(np.ones(128 * 128), 0.0)
+    spans, _, _ = s._scanned(pa.array(["x KqZr7TbXw9LmPv2QsYt8HdGf0123456789abcdef y"]), model)
+    assert [(a, z, s.KINDS[k]) for a, z, k in spans[0]] == [(2, 25, "model"), (25, 42, "hex")]
+
+
 def test_query_equals_brute_force(spark):
     got = {r.doc_id: r for r in s.op2_secret_scans(spark, SF).collect()}
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
