@@ -12,8 +12,7 @@ Everything runs in built-in functions.
 
 Tokens are runs of characters other than white space and ASCII punctuation, in lower
 case. Items shorter than a window must
-occur whole and unchanged; those of fewer than ``MIN_TOKENS`` tokens are left out, as
-are null and empty items. Null and empty documents hold nothing. Rows that share an
+occur whole and unchanged, however short they are. Null and empty items and documents hold nothing. Rows that share an
 id count as one document. An empty table on either side gives no rows.
 """
 
@@ -24,13 +23,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import unused, written
 from tessera.sources.tables import table
 
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Places that a mask looks at. Together they meet every window with two substitutions (tested for all).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-MIN_TOKENS = 5
 #: Seeds that are sent to every task at once.
 BLOCK_SEEDS = 500_000
 #: Tokens that the longest mask spans.
@@ -95,17 +93,18 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _short(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Hits of whole items of fewer tokens than a window, one join for each length that occurs."""
-    own = items.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("t")).filter((F.size("t") >= MIN_TOKENS) & (F.size("t") < WINDOW))
-    lengths = [r.n for r in own.select(F.size("t").alias("n")).distinct().collect()]
-    out = []
-    for n in lengths:
-        whole = own.filter(F.size("t") == n).select("item", F.xxhash64("t").alias("seed"), F.col("t").alias("want"))
-        at = docs.select("id", "t", F.explode(_places(F.col("t"), n)).alias("here"))
-        at = at.select("id", "here", F.slice("t", F.col("here"), n).alias("got")).withColumn("seed", F.xxhash64("got"))
-        met = at.join(F.broadcast(whole), "seed").filter("got = want")
-        out.append(met.select("id", "item", F.lit(n).alias("equal"), F.col("here").cast("long").alias("start"), F.lit(n).alias("least")))
-    return reduce(DataFrame.unionByName, out) if out else None
+    """Hits of whole items of fewer tokens than a window, in one join by length and hash; sent to every task where they are few."""
+    own = items.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("t")).filter((F.size("t") > 0) & (F.size("t") < WINDOW))
+    own = written(own.select("item", F.size("t").alias("n"), F.xxhash64("t").alias("seed"), F.col("t").alias("want")))
+    lengths = {r.n: r.times for r in own.groupBy("n").agg(F.count("*").alias("times")).collect()}
+    if not lengths:
+        return None
+    at = docs.select("id", "t", F.explode(_places(F.col("t"), 1)).alias("here"))
+    fits = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: F.col("here") + n - 1 <= F.size("t"))
+    at = at.select("id", "here", F.explode(F.transform(fits, lambda n: F.slice("t", F.col("here"), n))).alias("got"))
+    at = at.select("id", "here", "got", F.size("got").alias("n"), F.xxhash64("got").alias("seed"))
+    met = at.join(F.broadcast(own) if sum(lengths.values()) <= BLOCK_SEEDS else own, ["n", "seed"]).filter("got = want")
+    return met.select("id", "item", F.col("n").alias("equal"), F.col("here").cast("long").alias("start"), F.col("n").alias("least"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -120,7 +119,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     found = []
     for b in range(blocks):
-        block = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        block = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("seed", F.lit(1)), F.lit(blocks)) == b)
         found.append(_hits(own, block))
     short = _short(own, items, item_col, item_text)
     found += [] if short is None else [short]
@@ -132,9 +131,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that share no passage with an item. Rows with a null id stay only if no such row shares one."""
-    found = written(contaminated(docs, items, id_col, text_col).select(F.col("id").alias("_id_")).distinct())
+    mark = unused(docs, "found")
+    found = written(contaminated(docs, items, id_col, text_col).select(F.col("id").alias(mark)).distinct())
     few = found.count() <= BLOCK_SEEDS
-    return docs.join(F.broadcast(found) if few else found, F.col(id_col).eqNullSafe(F.col("_id_")), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
