@@ -382,7 +382,7 @@ def without_repeats(docs: DataFrame, u: Units, id_col: str, text_col: str, diges
     mixed = unlike.join(contents, ["a", "b"]).select(
         "key", row(F.col("times") > 1, F.col("open") & (F.struct("key", "start") == F.col("chosen")), F.col("many")).alias("x")
     )
-    by_text = alike.unionByName(mixed).groupBy("key").agg(F.collect_list("x").alias("found"))
+    by_text = alike.unionByName(mixed).groupBy("key").agg(F.collect_set("x").alias("found"))
 
     settled = written(
         docs.join(by_text, "key", "left").mapInArrow(
@@ -390,8 +390,9 @@ def without_repeats(docs: DataFrame, u: Units, id_col: str, text_col: str, diges
         )
     )
     elements = settled.select("key", F.explode("elements").alias("e")).select("key", "e.*")
-    compared = elements.filter("NOT many").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_compare(u), "key long, a int, z int")
-    counted = _spans_of_many(u, elements.filter("many").select("a", "key", "single", "at", "off", "units"))
-    more = compared.unionByName(counted).groupBy("key").agg(F.collect_list(F.struct("a", "z")).alias("more"))
+    # Rows that repeat id and text fetch the same blocks: one of them is enough.
+    compared = elements.filter("NOT many").repartition("a").dropDuplicates(["a", "key", "at"]).sortWithinPartitions("a", "b").mapInArrow(_compare(u), "key long, a int, z int")
+    counted = _spans_of_many(u, elements.filter("many").dropDuplicates(["a", "key", "at"]).select("a", "key", "single", "at", "off", "units"))
+    more = compared.unionByName(counted).groupBy("key").agg(F.collect_set(F.struct("a", "z")).alias("more"))
     late = settled.filter("rest IS NOT NULL").select("key", "id", "rest", "spans").join(more, "key", "left").mapInArrow(_complete(u, digest), f"id {kind}, {RESULT}")
     return settled.filter("rest IS NULL").select("id", *[x.split()[0] for x in RESULT.split(", ")]).unionByName(late)

@@ -94,3 +94,13 @@ def test_blocks_cover_every_window_once():
     got = sorted((t, s + i) for t, s, k in zip(of, start, n, strict=True) for i in range(k))
     assert got == [(t, i) for t in range(5) for i in range(offsets[t + 1] - offsets[t] - 7)]
     assert (off >= n - 1).all() and (off < 6 + n).all()
+
+
+def test_many_equal_rows_without_ids(spark):
+    from tessera.llm import substring_dedup
+
+    text = " ".join(f"w{i}" for i in range(400))
+    near = text.replace("w200 ", "other ")
+    docs = spark.createDataFrame([(None, text)] * 3000 + [(1, near), (2, "short")], "doc_id long, text string")
+    got = substring_dedup.remove_passages(docs).groupBy("n_units", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(400, 400, 3000), (400, 399, 1), (1, 0, 1)}
