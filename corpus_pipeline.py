@@ -3,6 +3,10 @@
 Each stage takes (spark, documents so far, folder of tables) and returns all that
 it keeps, written and read again before the next. Near duplicates are texts
 whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Columns beyond ``text`` and ``doc_id`` pass through all stages but the last, whatever their
+names. Null and empty texts fail the quality rules. Of repeated rows one is left by the near
+duplicates; rows with a null id are never near duplicates. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from tessera.sources.tables import table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.assess(docs, forest).filter("kept").select(*docs.columns)
+    return quality_rules.without_rejected(docs, forest)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
