@@ -260,12 +260,15 @@ def _verify(m: Measure):
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """(centre, sig) of the members (key, sig) of each group; its centre is the member that is in most groups."""
+    """(centre, sig, last) of the members (key, sig) of each group; its centre is the member that is in most groups.
+
+    ``last`` are those of whose groups none has a third member, so no pair beside theirs.
+    """
     groups = written(groups)
     often = groups.groupBy("sig").agg(F.count("*").alias("often"))
-    centres = groups.join(often, "sig").groupBy("key").agg(F.max(F.struct("often", "sig"))["sig"].alias("centre"))
+    centres = groups.join(often, "sig").groupBy("key").agg(F.max(F.struct("often", "sig"))["sig"].alias("centre"), (F.count("*") == 2).alias("last"))
     centres = written(centres)  # a plain side: a hot key of the other can be split
-    return groups.join(centres, "key").filter("sig <> centre").select("centre", "sig").distinct()
+    return groups.join(centres, "key").filter("sig <> centre").groupBy("centre", "sig").agg(F.min("last").alias("last"))
 
 
 def _groups(index: DataFrame) -> DataFrame:
@@ -281,10 +284,12 @@ def _refined(m: Measure, groups: DataFrame) -> DataFrame:
     Groups within one component count no more. ``bound`` groups lack links only
     between members that are linked to their common centre and members that aren't.
     """
-    sums = groups.groupBy("key").agg(F.max("linked").alias("some"), F.min("linked").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"), F.first("kind").alias("kind"), F.count("*").alias("size"))
-    sums = written(sums.filter("low < high AND (kind = 'free' OR (some AND NOT all))").select("key", "size"))
-    own = written(groups.join(sums, "key"))
-    star = _stars(own.filter(F.col("size") > SMALL).select("key", "sig")).withColumn("last", F.lit(False))
+    key = Window.partitionBy("key")
+    own = groups.withColumns({
+        "some": F.max("linked").over(key), "all": F.min("linked").over(key), "low": F.min("component").over(key), "high": F.max("component").over(key), "size": F.count("*").over(key),
+    })
+    own = written(own.filter("low < high AND (kind = 'free' OR (some AND NOT all))").drop("some", "all", "low", "high"))
+    star = _stars(own.filter(F.col("size") > SMALL).select("key", "sig"))
     small = own.filter(F.col("size") <= SMALL)
     other = small.select("key", *[F.col(c).alias(f"{c}_") for c in ("sig", "linked", "component", "n", "d", "rest")])
     # What both sets have in common of their differences is the shared element and what follows it, at most.
@@ -351,7 +356,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9)
     bands = Layout(m, {r.band: r.n for r in own.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()})
     index = docs.filter("id IS NOT NULL").mapInArrow(_index(m, bands), "key long, sig long, native boolean")
-    pairs = written(_stars(_groups(index)).withColumn("last", F.lit(False)))
+    pairs = written(_stars(_groups(index)))
     texts, labels, rounds = None, None, 0
     while not pairs.isEmpty():
         rounds += 1
@@ -361,10 +366,9 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
             chosen = written(own.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row")))
             some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
             texts = written(docs.select("row", "text").join(some, "row").select("sig", "text").dropDuplicates(["sig"]))
-        # A centre with one member has no pair beside it.
-        others = pairs.groupBy("centre").agg(F.max("sig").alias("sig"), (F.count("*") == 1).alias("alone")).join(texts.withColumnRenamed("text", "other_text"), "sig")
-        of_centre = written(texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text")).join(others.select("centre", "other_text", "alone"), "centre"))
-        compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", (F.col("last") | F.col("alone")).alias("last"), "text", "centre_text", "other_text")
+        others = pairs.groupBy("centre").agg(F.max("sig").alias("sig")).join(texts.withColumnRenamed("text", "other_text"), "sig")
+        of_centre = written(texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text")).join(others.select("centre", "other_text"), "centre"))
+        compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text", "other_text")
         compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free array<long>, bound array<long>"))
         labels = _joined(labels, compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
         rest = F.col("d") - F.col("at") - 1
