@@ -295,10 +295,9 @@ def _texts(pages: list[str], model: BoostedTrees) -> list[str]:
 _BAD_KINDS = {KIND_OF[t] for t in ("nav", "header", "footer", "aside", "form")}
 
 
-def labels(nodes: list[Node]) -> np.ndarray:
-    """Whether each block belongs to the article, judged by elements and attributes that name their role."""
+def labels(nodes: list[Node], marked: bool = False) -> np.ndarray:
+    """Whether each block belongs to the article, judged by elements and attributes that name their role; on a dressed page, by its mark."""
     y = np.zeros(len(nodes), bool)
-    marked = any('data-y="1"' in n.attributes for n in nodes)
     bad_tokens = sum(1 << k for k, name in enumerate(TOKENS) if name != "content")
     for k, node in enumerate(nodes):
         starts = 'data-y="1"' in node.attributes if marked else node.tag in ("article", "main")
@@ -362,9 +361,10 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for page_id, page in zip(batch["id"].to_pylist(), batch["html"].to_pylist(), strict=True):
             rnd = random.Random(f"{page_id}")
             short = shortened(page or "", rnd)
-            for one in (page or "", short, *(dressed(page or "", rnd) for _ in range(3)), dressed(short, rnd)):
+            own, new = (page or "", short), (*(dressed(page or "", rnd) for _ in range(3)), dressed(short, rnd))
+            for one, marked in [*((x, False) for x in own), *((x, True) for x in new)]:
                 nodes, _ = parse(one)
-                yield pa.RecordBatch.from_arrays([pa.array(labels(nodes).astype(np.int32)), pa.array(list(features(nodes)), pa.list_(pa.float32()))], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels(nodes, marked).astype(np.int32)), pa.array(list(features(nodes)), pa.list_(pa.float32()))], names=["y", "x"])
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> BoostedTrees:

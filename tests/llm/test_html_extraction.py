@@ -20,10 +20,10 @@ def trained():
     for i, page in zip(pages["page_id"].to_pylist(), pages["html"].to_pylist(), strict=True):
         rnd = random.Random(str(i))
         short = h.shortened(page, rnd)
-        for one in (page, short, *(h.dressed(page, rnd) for _ in range(3)), h.dressed(short, rnd)):
+        for k, one in enumerate((page, short, *(h.dressed(page, rnd) for _ in range(3)), h.dressed(short, rnd))):
             nodes, _ = h.parse(one)
             x.append(h.features(nodes))
-            y.append(h.labels(nodes))
+            y.append(h.labels(nodes, k > 1))
     return h.BoostedTrees.fit(np.vstack(x), np.concatenate(y).astype(float))
 
 
@@ -48,13 +48,18 @@ def test_held_out_dressings(trained):
         rnd = random.Random(page[:200])
         one = h.dressed(page, rnd)
         nodes, pieces = h.parse(one)
-        y = h.labels(nodes)
+        y = h.labels(nodes, True)
         want = " ".join(t for k, t in pieces if y[k]).split()
         exact += h.main_text(one, trained).split() == want
         n += 1
     assert exact / n > 0.9
 
 
+def test_a_page_cannot_label_itself():
+    nodes, _ = h.parse('<body><div data-y="1">x</div><article><p>text</p></article></body>')
+    assert [n.tag for n, y in zip(nodes, h.labels(nodes), strict=True) if y] == ["article", "p"]
+
+
 def test_decoding_is_hierarchical(trained):
     rnd = random.Random(4)
     for _ in range(50):
