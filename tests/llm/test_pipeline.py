@@ -44,3 +44,25 @@ def test_each_stage_against_brute_force(spark):
         assert r.bin_used <= r.bin_capacity
     assert tokens == {i: len(r.text.split()) for i, r in safe.items()}
     assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, by_stage["packing"].collect()))
+
+
+def test_stages_pass_columns_nulls_and_repeats_through(spark):
+    labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()
+    schema = "doc_id long, text string, kept string, anomaly string, n_words string, _row string, row string, found string, n string, key string"
+    extra = ("k", None, "w", "r", "q", "f", "n", None)
+    rows = [(r.doc_id, r.text, *extra) for r in docs]
+    rows += [rows[0], rows[0], (None, rows[1][1], *extra), (None, None, *extra), (7_000_001, None, *extra), (7_000_002, "", *extra)]
+    start = spark.createDataFrame(rows, schema)
+    assert labels
+    for empty in (False, True):
+        at = start.limit(0) if empty else start
+        for _, stage in p.STAGES[:-1]:
+            at = written(stage(spark, at, SF))
+            assert at.columns == start.columns
+        left = at.collect()
+        assert all((r.kept, r.anomaly, r.n_words, r._row, r.row, r.found, r.n, r.key) == extra for r in left)
+        ids = [r.doc_id for r in left if r.doc_id is not None]
+        assert len(ids) == len(set(ids)) and not {7_000_001, 7_000_002} & set(ids) and bool(left) != empty
+        packed = p.STAGES[-1][1](spark, at, SF)
+        assert (packed.count() == 0) == empty
