@@ -14,7 +14,7 @@ Sets that share a key form a group, if one of them has its own size band there.
 compared with the member of its group that shares most keys in all, its centre. A set that isn't
 linked to the centre may be linked to other members: such pairs have common elements in
 their differences to the centre, about half of them or all but a few. So the
-leading elements of each difference, in one order for all members of a centre, make
+leading elements of each difference, rarest first among all members of the centre, make
 smaller groups, and a pair in one of them is compared only if what follows the common
 element can still suffice for a link and if earlier links haven't joined it. Groups
 of over ``SMALL`` members are compared with a centre of their own and enter another round. Rounds end
@@ -208,32 +208,25 @@ def _index(m: Measure, bands: Layout):
     return run
 
 
-def _prefixes(m: Measure, x: np.ndarray, c: np.ndarray, other: np.ndarray, common: int, linked: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Leading elements of the difference of x to its centre c: (against unlinked members, against linked ones).
+def _leading_counts(m: Measure, n: int, centre: int, d: int, linked: bool) -> tuple[int, int]:
+    """How many leading elements of a set's difference to its centre, ``d`` elements, meet (unlinked members, linked ones).
 
-    All members of c's groups have one order: first where c agrees with ``other``, one of them,
-    so that few members differ from c there; then where c itself differs from the
-    rest. Linked sets share all
-    by which either difference exceeds the greatest permitted; if one of them isn't
-    linked to c, they also share more than half of the other's difference, adjusted by
-    size.
+    Linked sets share all by which either difference exceeds the greatest permitted; if
+    one of them isn't linked to the centre, they also share more than half of the
+    other's difference, adjusted by size. This holds in any order that all members of the centre have.
     """
-    size = len(x) + len(c) - 2 * common
-    half = math.floor((size + m.share * (len(c) - len(x))) / 2 - 1e-9) + 1
-    full = max(1, math.ceil(size - len(x) * (m.q - m.p) / m.p - 1e-9))
-    more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-    odd_more, odd_less = np.isin(more, other, assume_unique=True), ~np.isin(less, other, assume_unique=True)
-    order = np.concatenate([more[~odd_more], less[~odd_less], more[odd_more], less[odd_less]])
+    half = math.floor((d + m.share * (centre - n)) / 2 - 1e-9) + 1
+    full = max(1, math.ceil(d - n * (m.q - m.p) / m.p - 1e-9))
     if linked:
-        return order[:0], order[: max(0, size - max(1, half) + 1)]
-    return order[: max(0, size - max(half, full) + 1)], order[: max(0, size - full + 1)]
+        return 0, max(0, d - max(1, half) + 1)
+    return max(0, d - max(half, full) + 1), max(0, d - full + 1)
 
 
 def _verify(m: Measure):
-    """Compares sets with their centres."""
+    """Compares sets with their centres; ``diff`` is what only one of the two has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, np.ndarray] = {}
         one = lambda t: np.sort(shingles(m, pa.array([t.as_py()], pa.string()))[0])
         for part, text in ta.slices(batches, "text"):
             key, of = shingles(m, text)
@@ -242,23 +235,43 @@ def _verify(m: Measure):
             key = key[order]
             out: list[tuple] = []
             columns = [part[c].to_pylist() for c in ("centre", "sig", "last")]
-            for i, (centre, member, last, c_text, o_text) in enumerate(zip(*columns, part["centre_text"], part["other_text"], strict=True)):
+            for i, (centre, member, last, c_text) in enumerate(zip(*columns, part["centre_text"], strict=True)):
                 if centre not in held:
                     if len(held) >= CENTRES:
                         del held[next(iter(held))]
-                    held[centre] = one(c_text), one(o_text)
-                c, other = held[centre]
-                x = key[cuts[i] : cuts[i + 1]]
-                common = len(np.intersect1d(x, c, assume_unique=True))
-                linked = m.links(common, len(x), len(c))
-                free, bound = (x[:0], x[:0]) if last else _prefixes(m, x, c, other, common, linked)
-                out.append((centre, member, linked, len(x), len(x) + len(c) - 2 * common, free.view(np.int64), bound.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["centre", "sig", "linked", "n", "d", "free", "bound"])
+                    held[centre] = one(c_text)
+                c, x = held[centre], key[cuts[i] : cuts[i + 1]]
+                diff = np.setxor1d(x, c, assume_unique=True)
+                d = len(diff)
+                linked = m.links((len(x) + len(c) - d) // 2, len(x), len(c))
+                free, bound = _leading_counts(m, len(x), len(c), d, linked)
+                out.append((centre, member, linked, len(x), d, free, bound, diff[: 0 if last or not bound else d].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            names = ["centre", "sig", "linked", "n", "d", "free", "bound", "diff"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
+def _leading(compared: DataFrame) -> DataFrame:
+    """(key, kind, sig, linked, n, d, rest): the leading elements of each difference, rarest first among the members of its centre.
+
+    An element that one member alone has takes a place in the order but makes no group, so
+    a member with many of its own has few places left, or none.
+    """
+    member = F.xxhash64("centre", "sig").alias("member")
+    elements = compared.select(member, F.col("centre"), F.explode("diff").alias("e")).select("member", F.xxhash64("centre", "e").alias("key"))
+    often = written(elements.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"))  # a plain side: a hot key of the other can be split
+    shared = elements.join(often, "key").groupBy("member").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    members = compared.select(member, "sig", "linked", "n", "d", "free", "bound").join(shared, "member")
+    led = members.withColumn("alone", F.col("d") - F.size("shared"))
+    led = led.select("sig", "linked", "n", "d", "alone", "free", F.posexplode(F.slice("shared", 1, F.greatest(F.col("bound") - F.col("alone"), F.lit(0)))).alias("at", "e"))
+    at = F.col("alone") + F.col("at")
+    kinds = F.when(at < F.col("free"), F.array(F.lit("free"), F.lit("bound"))).otherwise(F.array(F.lit("bound")))
+    led = led.select("sig", "linked", "n", "d", (F.col("d") - at - 1).alias("rest"), F.col("e.key").alias("e"), F.explode(kinds).alias("kind"))
+    return led.select(F.xxhash64("e", "kind").alias("key"), "kind", "sig", "linked", "n", "d", "rest")
+
+
 def _stars(groups: DataFrame) -> DataFrame:
     """(centre, sig, last) of the members (key, sig) of each group; its centre is the member that is in most groups.
 
@@ -366,14 +379,11 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
             chosen = written(own.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row")))
             some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
             texts = written(docs.select("row", "text").join(some, "row").select("sig", "text").dropDuplicates(["sig"]))
-        others = pairs.groupBy("centre").agg(F.max("sig").alias("sig")).join(texts.withColumnRenamed("text", "other_text"), "sig")
-        of_centre = written(texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text")).join(others.select("centre", "other_text"), "centre"))
-        compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text", "other_text")
-        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free array<long>, bound array<long>"))
+        of_centre = texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
+        compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
+        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free int, bound int, diff array<long>"))
         labels = _joined(labels, compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
-        rest = F.col("d") - F.col("at") - 1
-        part = lambda kind: compared.select("sig", "linked", "n", "d", F.lit(kind).alias("kind"), F.posexplode(kind).alias("at", "e"), "centre").select(F.xxhash64("centre", "e", F.lit(kind)).alias("key"), "sig", "linked", "kind", "n", "d", rest.alias("rest"))  # noqa: B023, E731
-        groups = part("free").unionByName(part("bound")).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        groups = _leading(compared).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         pairs = written(_refined(m, groups))
     return Join(rows, labels, rounds)
 
