@@ -16,7 +16,8 @@ linked to the centre may be linked to other members: such pairs have common elem
 their differences to the centre, about half of them or all but a few. So the
 leading elements of each difference, rarest first among all members of the centre, make
 smaller groups, and a pair in one of them is compared only if what follows the common
-element can still suffice for a link and if earlier links haven't joined it. Groups
+element can still suffice for a link and if earlier links haven't joined it. Members far
+from the centre meet by leading elements of their own instead. Groups
 of over ``SMALL`` members are compared with a centre of their own and enter another round. Rounds end
 when no group is left; no pair is skipped. A large group costs a comparison per member
 and round, not one per pair.
@@ -49,6 +50,8 @@ BAND = 1.5
 RELATED, CHANCE, COMPARE = 1e-3, 0.02, 50.0
 #: Members of an unresolved group up to which its pairs are filtered and compared; larger groups get a centre and another round.
 SMALL = 512
+#: Differences to the centre, as a share of its size, beyond which a member is compared by its own elements.
+FAR = 0.8
 #: Centres whose sets a task holds.
 CENTRES = 256
 #: Rows up to which a list of keys is broadcast; beyond, texts are shuffled to meet it.
@@ -223,7 +226,13 @@ def _leading_counts(m: Measure, n: int, centre: int, d: int, linked: bool) -> tu
 
 
 def _verify(m: Measure):
-    """Compares sets with their centres; ``diff`` is what only one of the two has."""
+    """Compares sets with their centres.
+
+    ``diff`` is what only one of the two has, for sets near the centre; ``far`` are the
+    leading elements of a set far from it, in the order of those that the centre lacks, then
+    those that it has. Linked sets differ by at most what is permitted, so
+    that either both count as near or both as far.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -245,16 +254,21 @@ def _verify(m: Measure):
                 d = len(diff)
                 linked = m.links((len(x) + len(c) - d) // 2, len(x), len(c))
                 free, bound = _leading_counts(m, len(x), len(c), d, linked)
-                out.append((centre, member, linked, len(x), d, free, bound, diff[: 0 if last or not bound else d].view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            names = ["centre", "sig", "linked", "n", "d", "free", "bound", "diff"]
+                near = d <= FAR * len(c) + m.differences(np.int64(len(x)))
+                far = x[:0]
+                if d > FAR * len(c) and not last:
+                    inside = np.isin(x, c, assume_unique=True)
+                    far = np.concatenate([x[~inside], x[inside]])[: len(x) + m.p * len(x) // -m.q + 1]
+                out.append((centre, member, linked, len(x), d, free, bound, diff[: d if near and bound and not last else 0].view(np.int64), far.view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            names = ["centre", "sig", "linked", "n", "d", "free", "bound", "diff", "far"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
 def _leading(compared: DataFrame) -> DataFrame:
-    """(key, kind, sig, linked, n, d, rest): the leading elements of each difference, rarest first among the members of its centre.
+    """(key, kind, sig, linked, n, d, rest): the leading elements of each difference, rarest first among the members near its centre; those of far members.
 
     An element that one member alone has takes a place in the order but makes no group, so
     a member with many of its own has few places left, or none.
@@ -269,7 +283,11 @@ def _leading(compared: DataFrame) -> DataFrame:
     at = F.col("alone") + F.col("at")
     kinds = F.when(at < F.col("free"), F.array(F.lit("free"), F.lit("bound"))).otherwise(F.array(F.lit("bound")))
     led = led.select("sig", "linked", "n", "d", (F.col("d") - at - 1).alias("rest"), F.col("e.key").alias("e"), F.explode(kinds).alias("kind"))
-    return led.select(F.xxhash64("e", "kind").alias("key"), "kind", "sig", "linked", "n", "d", "rest")
+    led = led.select(F.xxhash64("e", "kind").alias("key"), "kind", "sig", "linked", "n", "d", "rest")
+    # A set far from the centre stands for itself: its elements are its difference to an empty set.
+    far = compared.select("centre", "sig", "linked", "n", F.posexplode("far").alias("at", "e"))
+    far = far.select(F.xxhash64("centre", "e", F.lit("far")).alias("key"), F.lit("free").alias("kind"), "sig", "linked", "n", F.col("n").alias("d"), (F.col("n") - F.col("at") - 1).alias("rest"))
+    return led.unionByName(far)
 
 
 def _stars(groups: DataFrame) -> DataFrame:
@@ -381,7 +399,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
             texts = written(docs.select("row", "text").join(some, "row").select("sig", "text").dropDuplicates(["sig"]))
         of_centre = texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
         compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
-        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free int, bound int, diff array<long>"))
+        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free int, bound int, diff array<long>, far array<long>"))
         labels = _joined(labels, compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
         groups = _leading(compared).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         pairs = written(_refined(m, groups))
