@@ -363,6 +363,18 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(lone))
 
 
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sig, text) of each set of ``rows``, from the least of its rows. Only texts of rows that repeat are shuffled to leave one."""
+    times = rows.groupBy("sig", "row").agg(F.count("*").alias("times"))
+    chosen = written(times.groupBy("sig").agg(F.min(F.struct("row", "times")).alias("least")).select("sig", "least.*"))
+    some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    found = docs.select("row", "text").join(some, "row")
+    once = found.filter("times = 1").select("sig", "text")
+    if chosen.filter("times > 1").isEmpty():
+        return once
+    return once.unionByName(found.filter("times > 1").select("sig", "text").dropDuplicates(["sig"]))
+
+
 @dataclass
 class Join:
     """``rows``: row, id, n, sig of each text; ``labels``: (sig, component) of the sets that link with others; None without links."""
@@ -394,10 +406,9 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
         if texts is None:
             # Later rounds compare sets of the first one only.
             wanted = pairs.select("sig").union(pairs.select(F.col("centre").alias("sig"))).distinct()
-            chosen = written(own.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row")))
-            some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-            texts = written(docs.select("row", "text").join(some, "row").select("sig", "text").dropDuplicates(["sig"]))
-        of_centre = texts.select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
+            texts = written(_texts(docs, own.join(wanted, "sig", "left_semi")))
+        centres = pairs.select(F.col("centre").alias("sig")).distinct()
+        of_centre = texts.join(centres, "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
         compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
         compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free int, bound int, diff array<long>, far array<long>"))
         labels = _joined(labels, compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
