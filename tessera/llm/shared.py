@@ -21,16 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once as Parquet to ``path`` and read back."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     What follows starts from files: lineage ends here, and a lost executor costs
     no more than the tasks that it ran.
     """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df, shared_folder(df.sparkSession))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes what ``saved`` wrote to ``path``, once no later step reads it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
