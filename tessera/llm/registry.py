@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("best_fit_packing", "decontamination", "html_extraction", "jaccard_join", "lm_scoring", "quality_rules", "secret_scans", "simhash", "substring_dedup", "suffix_dedup", "vector_codes", "warc")
+MODULES = ("best_fit_packing", "decontamination", "html_extraction", "jaccard_join", "lm_scoring", "quality_rules", "secret_scans", "simhash", "source_divergence", "substring_dedup", "suffix_dedup", "vector_codes", "warc")
 
 
 def _all(name: str) -> dict:
