@@ -8,8 +8,8 @@ so a prefix with the mark is a complete term, and is kept once its level is reac
 
 A document counts once for a prefix however many of its terms begin with it: of the document's
 terms in order, a term brings a new prefix at the levels beyond what it shares with the term before it. So a task sums
-(language, source, term, first new level) over its documents, and a level adds up the rows that are new there. These sums are
-written once; each level reads what is left of them after the last one.
+for each term how many of its documents have it new by each level, and a level adds up these numbers. The sums are
+written once; each level reads those behind prefixes that are left after the last one.
 
 The share of a term in a source or language is p = 1 + floor(``UNIT`` * (count + 5) / (N + 5 V)), with N
 the count of all V kept terms there. Sources of a language are compared in tiles of about ``TILE`` sources: a row holds
@@ -42,7 +42,7 @@ UNIT, RAISE, TOP = 1_000_000_000, 5, 50
 #: Sources of a tile, about.
 TILE = 48
 #: Rows of sums that a task holds before it adds them up, and text bytes handled at a time.
-HELD, SLICE = 2_000_000, 4 << 20
+HELD, SLICE = 1_500_000, 4 << 20
 
 #: Bytes that are no part of a term become spaces, A-Z become a-z.
 _LETTER = np.array([x if x >= 128 or chr(x).islower() else x + 32 if chr(x).isupper() else 32 for x in range(256)], np.uint8)
@@ -99,48 +99,74 @@ def terms(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray,
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, level, docs, count) summed over the documents at hand."""
-    names = ["lang", "source", "term", "level"]
-
-    def added(parts: list[pa.Table]) -> pa.Table:
-        every = pa.concat_tables(parts, promote_options="default").group_by(names).aggregate([("docs", "sum"), ("count", "sum")])
-        return every.rename_columns([c.removesuffix("_sum") for c in every.column_names]).select([*names, "docs", "count"])
-
-    def given(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in held.to_batches(max_chunksize=100_000):
-            term = pc.binary_join_element_wise(batch["term"], pa.scalar(b""), pa.scalar(END))
-            yield pa.RecordBatch.from_arrays([batch["lang"], batch["source"], term, *(batch[c] for c in ("level", "docs", "count"))], names=[*names, "docs", "count"])
-
-    parts: list[pa.Table] = []
+    """(lang, term, docs, counts) summed over the documents at hand.
+
+    ``docs`` has for each level how many documents the term brings a new prefix there or at an earlier
+    one; the last number holds for all later levels. ``counts`` has the term's count in each source.
+    """
+
+    def added(parts: list[pa.Table], value: str) -> pa.Table:
+        names = [c for c in parts[0].column_names if c != value]
+        every = pa.concat_tables(parts).group_by(names).aggregate([(value, "sum")])
+        return every.rename_columns([c.removesuffix("_sum") for c in every.column_names])
+
+    def given(new: pa.Table, count: pa.Table) -> Iterator[pa.RecordBatch]:
+        order = [("lang", "ascending"), ("term", "ascending")]
+        lists = lambda t, *of: t.group_by(["lang", "term"]).aggregate([(c, "list") for c in of]).sort_by(order).combine_chunks()
+        new, count = lists(new, "level", "docs"), lists(count, "source", "count")
+        if not new.num_rows:
+            return
+        levels, docs, sources, counts = (t[f"{c}_list"].combine_chunks() for t, c in ((new, "level"), (new, "docs"), (count, "source"), (count, "count")))
+        own = ta.owner(levels.offsets.to_numpy())
+        at = levels.flatten().to_numpy()
+        size = np.zeros(len(levels), np.int64)
+        np.maximum.at(size, own, at + 1)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        flat = np.zeros(offsets[-1], np.int64)
+        np.add.at(flat, offsets[own] + at, docs.flatten().to_numpy())
+        until = np.concatenate([[0], np.cumsum(flat)])
+        flat = until[1:] - np.repeat(until[offsets[:-1]], size)
+        by_source = pa.StructArray.from_arrays([sources.flatten(), counts.flatten()], names=["source", "count"])
+        table = pa.table({
+            "lang": new["lang"],
+            "term": pc.binary_join_element_wise(new["term"], pa.scalar(b""), pa.scalar(END)),
+            "docs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+            "counts": pa.ListArray.from_arrays(sources.offsets, by_source),
+        })
+        yield from table.to_batches(max_chunksize=50_000)
+
+    new_parts: list[pa.Table] = []
+    count_parts: list[pa.Table] = []
     for part, text in ta.slices(batches, "text", SLICE):
         distinct, of, term, new, count = terms(text)
-        groups = pa.table([part["lang"], part["source"]], names=["lang", "source"])
-        # By group, not by text: numbers are added up before terms are made strings.
-        code = pa.StructArray.from_arrays([c.combine_chunks() for c in groups.columns], names=["lang", "source"])
-        sources, places = _coded(code)
+        langs, lang = _coded(part["lang"])
+        groups, group = _coded(pa.StructArray.from_arrays([part["lang"], part["source"]], names=["lang", "source"]))
         width, levels = max(1, len(distinct)), int(new.max(initial=0)) + 1
-        key = (places[of] * width + term) * levels + new
-        unique, inverse = np.unique(key, return_inverse=True)
-        docs, total = np.bincount(inverse, minlength=len(unique)), np.bincount(inverse, weights=count, minlength=len(unique)).astype(np.int64)
-        group, rest = np.divmod(unique, width * levels)
-        chosen = sources.take(pa.array(group))
-        parts.append(pa.table([chosen.field("lang"), chosen.field("source"), distinct.take(pa.array(rest // levels)), pa.array(rest % levels), pa.array(docs), pa.array(total)], names=[*names, "docs", "count"]))
-        if sum(p.num_rows for p in parts) > HELD:
-            parts = [added(parts)]
-            if parts[0].num_rows > HELD // 2:
-                yield from given(parts[0])
-                parts = []
-    if parts:
-        yield from given(added(parts))
-
-
-def _coded(values: pa.StructArray) -> tuple[pa.StructArray, np.ndarray]:
+        # Numbers are added up before terms are made strings again.
+        unique, docs = np.unique((lang[of] * width + term) * levels + new, return_counts=True)
+        rest = unique // levels
+        new_parts.append(pa.table([langs.take(pa.array(rest // width)), distinct.take(pa.array(rest % width)), pa.array(unique % levels), pa.array(docs)], names=["lang", "term", "level", "docs"]))
+        unique, inverse = np.unique(group[of] * width + term, return_inverse=True)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, inverse, count)
+        chosen = groups.take(pa.array(unique // width))
+        count_parts.append(pa.table([chosen.field("lang"), chosen.field("source"), distinct.take(pa.array(unique % width)), pa.array(total)], names=["lang", "source", "term", "count"]))
+        if sum(p.num_rows for p in count_parts) > HELD:
+            new_parts, count_parts = [added(new_parts, "docs")], [added(count_parts, "count")]
+            if count_parts[0].num_rows > HELD // 2:
+                yield from given(new_parts[0], count_parts[0])
+                new_parts, count_parts = [], []
+    if count_parts:
+        yield from given(added(new_parts, "docs"), added(count_parts, "count"))
+
+
+def _coded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the distinct values, place of each value among them)."""
-    places: dict[tuple, int] = {}
-    pairs = zip(values.field(0).to_pylist(), values.field(1).to_pylist(), strict=True)
-    at = np.fromiter((places.setdefault(p, len(places)) for p in pairs), np.int64, len(values))
-    lang, source = zip(*places, strict=True) if places else ((), ())
-    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string())], names=["lang", "source"]), at
+    places: dict = {}
+    at = np.fromiter((places.setdefault(tuple(v.values()) if isinstance(v, dict) else v, len(places)) for v in values.to_pylist()), np.int64, len(values))
+    first = np.full(len(places), len(values))
+    np.minimum.at(first, at, np.arange(len(values)))
+    return values.take(pa.array(first)), at
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -150,22 +176,29 @@ def _side(df: DataFrame) -> DataFrame:
 
 def kept_terms(sums: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, term) of the complete terms that at least ``least`` documents of their language hold."""
-    spark, found, left, n, old = sums.sparkSession, None, sums.select("lang", "term", "level", "docs"), 0, None
+    spark, found, base, n, old, size = sums.sparkSession, None, sums.select("lang", "term", "docs"), 0, None, sums.count()
+    left = base
     while True:
         prefix = F.substring("term", 1, level(n)).alias("prefix")
-        held = written(left.filter(F.col("level") <= n).groupBy("lang", prefix).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "prefix"))
+        docs = F.element_at("docs", F.least(F.lit(n + 1), F.size("docs")))
+        counted = left.groupBy("lang", prefix).agg(F.sum(docs).alias("docs"), F.count("*").alias("rows"))
+        held = written(counted.filter(F.col("docs") >= least).select("lang", "prefix", "rows"))
         complete = F.substring("prefix", F.length("prefix"), F.lit(1)) == F.lit(END)
         done = held.filter(complete).select("lang", F.col("prefix").alias("term"))
         found = done if found is None else found.unionByName(done)
         more = held.filter(~complete)
-        if more.isEmpty():
+        rows = more.agg(F.sum("rows")).head()[0]
+        if rows is None:
             break
         # Terms behind discarded prefixes go, and so do complete ones.
-        path = shared_folder(spark)
-        left = saved(left.withColumn("prefix", prefix).join(_side(more), ["lang", "prefix"], "left_semi").drop("prefix"), path)
-        if old:
-            remove(spark, old)
-        old, n = path, n + 1
+        left = base.withColumn("prefix", prefix).join(_side(more.drop("rows")), ["lang", "prefix"], "left_semi").drop("prefix")
+        if 2 * rows < size:  # few are left: later levels read only those
+            path = shared_folder(spark)
+            base = left = saved(left, path)
+            if old:
+                remove(spark, old)
+            old, size = path, rows
+        n += 1
     return written(found)
 
 
@@ -204,9 +237,10 @@ def _share(count: Column, n: Column, v: Column) -> Column:
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): the differences between sources, and each source's most telling terms."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    sums = written(docs.mapInArrow(_sums, "lang string, source string, term binary, level long, docs long, count long"))
+    sums = written(docs.mapInArrow(_sums, "lang string, term binary, docs array<long>, counts array<struct<source: string, count: long>>"))
     kept = kept_terms(sums, least)
-    counts = written(sums.join(_side(kept), ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("count").alias("count")))
+    used = sums.select("lang", "term", "counts").join(_side(kept), ["lang", "term"], "left_semi").select("lang", "term", F.inline("counts"))
+    counts = written(used.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")))
     size = kept.groupBy("lang").agg(F.count("*").alias("v"))
     groups = docs.select("lang", "source").distinct()
     groups = groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left").join(size, "lang", "left").fillna(0)
