@@ -11,16 +11,18 @@ Empty segments say little: spare segments make up for them, and only a set with
 empty segments than spares indexes those.
 
 Sets that share a key form a group, if one of them has its own size band there. Each is
-compared with the member of its group that shares most keys in all, its centre. A set that isn't
-linked to the centre may be linked to other members: such pairs have common elements in
-their differences to the centre, about half of them or all but a few. So the
-leading elements of each difference, rarest first among all members of the centre, make
-smaller groups, and a pair in one of them is compared only if what follows the common
-element can still suffice for a link and if earlier links haven't joined it. Members far
-from the centre meet by leading elements of their own instead. Groups
-of over ``SMALL`` members are compared with a centre of their own and enter another round. Rounds end
-when no group is left; no pair is skipped. A large group costs a comparison per member
-and round, not one per pair.
+compared with the member of its group that shares most keys in all, its centre. The members of
+a centre are its family; their differences to it tell all about their links: x and y differ in
+|x - centre| + |y - centre| less twice what both differences have in common. So a family is settled in one
+task from the differences alone, and only links of a spanning forest leave it. Members far from the centre are
+a family of their own, whose differences are to the empty set.
+
+A family of more than ``MEMBERS`` is split. Elements that over half of the differences hold are
+turned round in all of them, which moves the centre to what most members have in common; then no element is in more than half. The member
+nearest to it by size links with all that need no common element for a link with anyone. Every other pair has
+elements in common that are among the leading ones of both differences, rarest first, so the members with the same leading element are
+families of their own, of half the size at most. Where differences are long such groups get a centre
+of their own and enter another round instead. Rounds end when no group is left; no pair is skipped.
 
 Equal sets are one class from the start. Null and empty texts have no shingles and
 link with nothing. A row with a null id links with nothing and has a null component.
@@ -36,7 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
@@ -48,8 +50,9 @@ BAND = 1.5
 #: For the cost model: share of a band's sets that have a passage in common with a given one, chance that
 #: such a set holds an element of it, and the cost of comparing two sets in index rows.
 RELATED, CHANCE, COMPARE = 1e-3, 0.02, 50.0
-#: Members of an unresolved group up to which its pairs are filtered and compared; larger groups get a centre and another round.
-SMALL = 512
+#: Members and elements of a family that a task settles, members that it settles whatever their elements, and elements of
+#: a difference, on average, up to which it is repeated for each leading element of a larger family.
+MEMBERS, ELEMENTS, FEW, LIGHT = 1 << 12, 1 << 22, 32, 256
 #: Differences to the centre, as a share of its size, beyond which a member is compared by its own elements.
 FAR = 0.8
 #: Centres whose sets a task holds.
@@ -69,9 +72,13 @@ class Measure:
     def links(self, common: int, a: int, b: int) -> bool:
         return self.q * common >= self.p * (a + b - common)
 
+    def excess(self, d, n):
+        """Sets x and y link if the sum of their excess is at most ``cost`` for each element that their differences share."""
+        return (self.q + self.p) * d - (self.q - self.p) * n
+
     @property
-    def share(self) -> float:
-        return (self.q - self.p) / (self.q + self.p)
+    def cost(self) -> int:
+        return 2 * (self.q + self.p)
 
     def differences(self, size: np.ndarray) -> np.ndarray:
         """Most elements in one set alone, over all partners of a set of this size."""
@@ -211,26 +218,11 @@ def _index(m: Measure, bands: Layout):
     return run
 
 
-def _leading_counts(m: Measure, n: int, centre: int, d: int, linked: bool) -> tuple[int, int]:
-    """How many leading elements of a set's difference to its centre, ``d`` elements, meet (unlinked members, linked ones).
-
-    Linked sets share all by which either difference exceeds the greatest permitted; if
-    one of them isn't linked to the centre, they also share more than half of the
-    other's difference, adjusted by size. This holds in any order that all members of the centre have.
-    """
-    half = math.floor((d + m.share * (centre - n)) / 2 - 1e-9) + 1
-    full = max(1, math.ceil(d - n * (m.q - m.p) / m.p - 1e-9))
-    if linked:
-        return 0, max(0, d - max(1, half) + 1)
-    return max(0, d - max(half, full) + 1), max(0, d - full + 1)
-
-
 def _verify(m: Measure):
     """Compares sets with their centres.
 
     ``diff`` is what only one of the two has, for sets near the centre; ``far`` are the
-    leading elements of a set far from it, in the order of those that the centre lacks, then
-    those that it has. Linked sets differ by at most what is permitted, so
+    elements of a set far from it. Linked sets differ by at most what is permitted, so
     that either both count as near or both as far.
     """
 
@@ -252,42 +244,142 @@ def _verify(m: Measure):
                 c, x = held[centre], key[cuts[i] : cuts[i + 1]]
                 diff = np.setxor1d(x, c, assume_unique=True)
                 d = len(diff)
-                linked = m.links((len(x) + len(c) - d) // 2, len(x), len(c))
-                free, bound = _leading_counts(m, len(x), len(c), d, linked)
-                near = d <= FAR * len(c) + m.differences(np.int64(len(x)))
-                far = x[:0]
-                if d > FAR * len(c) and not last:
-                    inside = np.isin(x, c, assume_unique=True)
-                    far = np.concatenate([x[~inside], x[inside]])[: len(x) + m.p * len(x) // -m.q + 1]
-                out.append((centre, member, linked, len(x), d, free, bound, diff[: d if near and bound and not last else 0].view(np.int64), far.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = ["centre", "sig", "linked", "n", "d", "free", "bound", "diff", "far"]
+                near = not last and d <= FAR * len(c) + m.differences(np.int64(len(x)))
+                far = not last and d > FAR * len(c)
+                out.append((centre, member, m.links((len(x) + len(c) - d) // 2, len(x), len(c)), len(x), d, diff.view(np.int64) if near else None, x.view(np.int64) if far else None))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            names = ["centre", "sig", "linked", "n", "d", "diff", "far"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def _leading(compared: DataFrame) -> DataFrame:
-    """(key, kind, sig, linked, n, d, rest): the leading elements of each difference, rarest first among the members near its centre; those of far members.
+def _families(compared: DataFrame) -> DataFrame:
+    """(fam, centre, sig, n, d, linked, diff): the members near each centre, and those far from it."""
+    near = compared.filter("diff IS NOT NULL").select(F.xxhash64("centre").alias("fam"), "centre", "sig", "n", "d", "linked", "diff")
+    far = compared.filter("far IS NOT NULL").select(F.xxhash64("centre", F.lit("far")).alias("fam"), "centre", "sig", "n", F.col("n").alias("d"), F.lit(False).alias("linked"), F.col("far").alias("diff"))
+    return near.unionByName(far)
 
-    An element that one member alone has takes a place in the order but makes no group, so
-    a member with many of its own has few places left, or none.
+
+def settled(m: Measure, n: np.ndarray, d: np.ndarray, linked: np.ndarray, diff: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The class of each member of a family: 0 that of its centre, otherwise 1 + the index of its first member.
+
+    Members that are ``linked`` are of the centre's class from the start and aren't compared with each other.
     """
-    member = F.xxhash64("centre", "sig").alias("member")
-    elements = compared.select(member, F.col("centre"), F.explode("diff").alias("e")).select("member", F.xxhash64("centre", "e").alias("key"))
-    often = written(elements.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"))  # a plain side: a hot key of the other can be split
-    shared = elements.join(often, "key").groupBy("member").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
-    members = compared.select(member, "sig", "linked", "n", "d", "free", "bound").join(shared, "member")
-    led = members.withColumn("alone", F.col("d") - F.size("shared"))
-    led = led.select("sig", "linked", "n", "d", "alone", "free", F.posexplode(F.slice("shared", 1, F.greatest(F.col("bound") - F.col("alone"), F.lit(0)))).alias("at", "e"))
-    at = F.col("alone") + F.col("at")
-    kinds = F.when(at < F.col("free"), F.array(F.lit("free"), F.lit("bound"))).otherwise(F.array(F.lit("bound")))
-    led = led.select("sig", "linked", "n", "d", (F.col("d") - at - 1).alias("rest"), F.col("e.key").alias("e"), F.explode(kinds).alias("kind"))
-    led = led.select(F.xxhash64("e", "kind").alias("key"), "kind", "sig", "linked", "n", "d", "rest")
-    # A set far from the centre stands for itself: its elements are its difference to an empty set.
-    far = compared.select("centre", "sig", "linked", "n", F.posexplode("far").alias("at", "e"))
-    far = far.select(F.xxhash64("centre", "e", F.lit("far")).alias("key"), F.lit("free").alias("kind"), "sig", "linked", "n", F.col("n").alias("d"), (F.col("n") - F.col("at") - 1).alias("rest"))
-    return led.unionByName(far)
+    size = len(n)
+    label = np.where(linked, 0, np.arange(1, size + 1))
+    own = ta.owner(offsets)
+    _, e, often = np.unique(diff, return_inverse=True, return_counts=True)
+    # What most differences hold is turned round.
+    most = 2 * often > size
+    if most.any():
+        place = np.cumsum(most) - 1
+        has = np.zeros((size, int(most.sum())), bool)
+        inside = most[e]
+        has[own[inside], place[e[inside]]] = True
+        row, col = np.nonzero(~has)
+        own, e = np.concatenate([own[~inside], row]), np.concatenate([e[~inside], np.flatnonzero(most)[col]])
+        d = d - has.sum(axis=1) + (~has).sum(axis=1)
+        often = np.bincount(e, minlength=len(often))
+    excess = m.excess(d, n)
+    some = often[e] > 1
+    own, e = own[some], e[some]
+    by_element, by_member = np.argsort(e, kind="stable"), np.argsort(own, kind="stable")
+    members, elements = own[by_element], e[by_member]
+    first = np.concatenate([[0], np.cumsum(np.bincount(e, minlength=len(often)))])
+    start = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=size))])
+    for u in np.flatnonzero(~linked):
+        common = np.zeros(size, np.int64)
+        if len(mine := elements[start[u] : start[u + 1]]):
+            common = np.bincount(np.concatenate([members[first[x] : first[x + 1]] for x in mine]), minlength=size)
+        links = excess[u] + excess <= m.cost * common
+        links[u] = True
+        classes = label[links]
+        if (classes != label[u]).any():
+            label[np.isin(label, classes)] = classes.min()
+            if not label.any():
+                break
+    return label
+
+
+def _settle(m: Measure):
+    """Links (a, b) of a spanning forest of each family; rows come sorted by ``fam``."""
+
+    def links(fam: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        diff = fam["diff"].combine_chunks()
+        offsets = diff.offsets.to_numpy().astype(np.int64)
+        n, d, linked, sig = (fam[c].to_numpy() for c in ("n", "d", "linked", "sig"))
+        label = settled(m, n, d, linked, diff.flatten().to_numpy(), offsets - offsets[0])
+        nodes = np.concatenate([fam["centre"][0:1].to_numpy(), sig])
+        found = np.flatnonzero(~linked & (label != np.arange(1, len(sig) + 1)))
+        return pa.RecordBatch.from_arrays([pa.array(sig[found]), pa.array(nodes[label[found]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            fam = batch["fam"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(fam)) + 1).tolist(), len(fam)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[0]["fam"][0].as_py() != fam[a]:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
+
+def _split(m: Measure, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(families (fam, centre, sig, n, d, linked, diff) by leading element; links (a, b)) of large families."""
+    size = written(rows.groupBy("fam").agg(F.count("*").alias("size")))
+    often = rows.select("fam", F.explode("diff").alias("e")).groupBy("fam", "e").agg(F.count("*").alias("often"))
+    often = written(often.join(_side(size), "fam").withColumn("most", F.expr("2 * often > size")))
+    most = often.filter("most").groupBy("fam").agg(F.collect_list("e").alias("turned"))
+    turned = F.concat(F.array_except("diff", "turned"), F.array_except("turned", "diff"))
+    rows = rows.join(_side(most), "fam", "left").withColumn("diff", F.when(F.col("turned").isNull(), F.col("diff")).otherwise(turned))
+    rows = rows.withColumn("d", F.size("diff").cast("long")).withColumn("excess", m.excess(F.col("d"), F.col("n")))
+    rows = written(rows.select("fam", "sig", "n", "d", "diff", "excess"))
+    best = written(rows.groupBy("fam").agg(F.min(F.struct("excess", "sig")).alias("best")).select("fam", F.col("best.sig").alias("centre"), F.col("best.excess").alias("least")))
+    rows = rows.join(_side(best), "fam").withColumn("linked", F.expr("excess + least <= 0"))
+    links = rows.filter("linked AND sig <> centre").select(F.col("sig").alias("a"), F.col("centre").alias("b"))
+    # A pair of which one isn't linked has so many elements in common, or more.
+    common = F.when(F.col("linked"), F.floor((F.col("excess") - F.col("least")) / m.cost) + 1).otherwise(F.ceil((F.col("excess") + F.col("least")) / m.cost))
+    rare = often.withColumn("often", F.expr("IF(most, size - often, often)")).filter("often > 1").select("fam", "e", "often")
+    shared = rows.select("fam", "sig", F.explode("diff").alias("e")).join(rare, ["fam", "e"]).groupBy("fam", "sig").agg(F.sort_array(F.collect_list(F.struct("often", "e")))["e"].alias("shared"))
+    led = rows.join(shared, ["fam", "sig"]).withColumn("lead", (F.size("shared") - common + 1).cast("int")).filter("lead > 0")
+    led = led.select(F.col("fam").alias("of"), F.explode(F.slice("shared", F.lit(1), F.col("lead"))).alias("e"), "centre", "sig", "n", "d", "linked", "diff")
+    return led.select(F.xxhash64("of", "e").alias("fam"), *led.columns[2:]), links
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """A small table goes to every task; others are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _resolved(m: Measure, families: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """(links (a, b) within families; groups (key, sig) that need a centre of their own, or None)."""
+    links, left = [], None
+    while True:
+        sizes = families.groupBy("fam").agg(F.count("*").alias("members"), F.sum(F.size("diff").cast("long")).alias("elements"), F.min("linked").alias("all"))
+        sizes = written(sizes.filter("members > 1 AND NOT all").drop("all"))
+        large = (F.col("members") > MEMBERS) | ((F.col("elements") > ELEMENTS) & (F.col("members") > FEW))
+        small = families.join(_side(sizes.filter(~large).select("fam")), "fam", "left_semi")
+        links.append(written(small.repartition("fam").sortWithinPartitions("fam").mapInArrow(_settle(m), "a long, b long")))
+        sizes = written(sizes.filter(large).withColumn("light", F.expr(f"elements <= {LIGHT} * members")))
+        if sizes.isEmpty():
+            return links, left
+        rows = written(families.join(_side(sizes), "fam"))
+        if not sizes.filter("NOT light").isEmpty():
+            groups, beside = _split(m, rows.filter("NOT light"))
+            groups = written(groups.select(F.col("fam").alias("key"), "sig"))
+            left = groups if left is None else left.unionByName(groups)
+            links.append(written(beside))
+        families, beside = _split(m, rows.filter("light"))
+        families = written(families)
+        links.append(written(beside))
 
 
 def _stars(groups: DataFrame) -> DataFrame:
@@ -303,31 +395,10 @@ def _stars(groups: DataFrame) -> DataFrame:
 
 
 def _groups(index: DataFrame) -> DataFrame:
-    """(key, sig) of the keys that several sets share, one of them in its own band. A set has a key once, so no key has more than a small share of all rows."""
-    key = Window.partitionBy("key")
-    shared = index.select("key", "sig", F.min("sig").over(key).alias("low"), F.max("sig").over(key).alias("high"), F.max("native").over(key).alias("some"))
-    return shared.filter("low < high AND some").select("key", "sig").distinct()
-
-
-def _refined(m: Measure, groups: DataFrame) -> DataFrame:
-    """(centre, sig, last) for groups of unresolved members.
-
-    Groups within one component count no more. ``bound`` groups lack links only
-    between members that are linked to their common centre and members that aren't.
-    """
-    key = Window.partitionBy("key")
-    own = groups.withColumns({
-        "some": F.max("linked").over(key), "all": F.min("linked").over(key), "low": F.min("component").over(key), "high": F.max("component").over(key), "size": F.count("*").over(key),
-    })
-    own = written(own.filter("low < high AND (kind = 'free' OR (some AND NOT all))").drop("some", "all", "low", "high"))
-    star = _stars(own.filter(F.col("size") > SMALL).select("key", "sig"))
-    small = own.filter(F.col("size") <= SMALL)
-    other = small.select("key", *[F.col(c).alias(f"{c}_") for c in ("sig", "linked", "component", "n", "d", "rest")])
-    # What both sets have in common of their differences is the shared element and what follows it, at most.
-    suffices = 1 + F.least("rest", "rest_") >= (F.col("d") + F.col("d_") - m.share * (F.col("n") + F.col("n_"))) / 2 - 1e-9
-    pairs = small.join(other, "key").filter(suffices & F.expr("sig < sig_ AND component <> component_ AND (kind = 'free' OR linked <> linked_)"))
-    every = pairs.select(F.col("sig").alias("centre"), F.col("sig_").alias("sig")).distinct().withColumn("last", F.lit(True))
-    return star.unionByName(every).groupBy("centre", "sig").agg(F.min("last").alias("last"))
+    """(key, sig) of the keys that several sets share, one of them in its own band."""
+    index = written(index)
+    shared = index.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("native").alias("some"))
+    return index.join(written(shared.filter("low < high AND some").select("key")), "key", "left_semi").select("key", "sig").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,21 +419,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``labels`` (sig, component) after more links (a, b): components that these connect become one."""
-    if labels is None:
-        return components(links).withColumnRenamed("node", "sig")
-    of = lambda side: labels.select(F.col("sig").alias(side), F.col("component").alias(f"{side}_"))
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")).filter("a <> b")
-    between = written(between.distinct())
-    if between.isEmpty():
-        return labels
-    new = components(between)
-    old = labels.join(new.withColumnRenamed("component", "joined").withColumnRenamed("node", "component"), "component", "left").select("sig", F.coalesce("joined", "component").alias("component"))
-    lone = new.join(labels.select(F.col("component").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("sig"), "component")
-    return written(old.unionByName(lone))
-
-
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(sig, text) of each set of ``rows``, from the least of its rows. Only texts of rows that repeat are shuffled to leave one."""
     times = rows.groupBy("sig", "row").agg(F.count("*").alias("times"))
@@ -400,7 +456,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     bands = Layout(m, {r.band: r.n for r in own.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()})
     index = docs.filter("id IS NOT NULL").mapInArrow(_index(m, bands), "key long, sig long, native boolean")
     pairs = written(_stars(_groups(index)))
-    texts, labels, rounds = None, None, 0
+    texts, links, rounds = None, [], 0
     while not pairs.isEmpty():
         rounds += 1
         if texts is None:
@@ -410,11 +466,18 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
         centres = pairs.select(F.col("centre").alias("sig")).distinct()
         of_centre = texts.join(centres, "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
         compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
-        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n int, d int, free int, bound int, diff array<long>, far array<long>"))
-        labels = _joined(labels, compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
-        groups = _leading(compared).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        pairs = written(_refined(m, groups))
-    return Join(rows, labels, rounds)
+        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far array<long>"))
+        found, left = _resolved(m, _families(compared))
+        links += [compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")), *found]
+        if left is None:
+            break
+        pairs = written(_stars(left.distinct()))
+    if not links:
+        return Join(rows, None, rounds)
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return Join(rows, components(every).withColumnRenamed("node", "sig"), rounds)
 
 
 def grouped(found: Join) -> DataFrame:

@@ -53,7 +53,8 @@ def edited(rnd, words, k, new):
 def test_components_equal_all_pairs(spark, monkeypatch, seed, m, chance):
     monkeypatch.setattr(j, "RELATED", 1.0)
     monkeypatch.setattr(j, "CHANCE", chance)  # high chances of agreement make doubled segments pay
-    monkeypatch.setattr(j, "SMALL", [512, 2, 3][seed])
+    for name, value in zip(("MEMBERS", "FEW", "LIGHT", "ELEMENTS"), [(4096, 32, 256, 1 << 22), (2, 1, 1 << 20, 50), (3, 2, 9, 200)][seed], strict=True):
+        monkeypatch.setattr(j, name, value)
     rnd = random.Random(seed)
     new = lambda: f"W{rnd.randrange(400)}"
     rows, texts = [], []
@@ -85,6 +86,61 @@ def test_a_link_beside_the_centre_is_found(spark):
     assert {r.id: (r.n, r.component) for r in j.grouped(found).collect()} == brute(rows, m)
 
 
+def just_apart(n, seed):
+    """Texts of 120 words, each with two words changed: most pairs differ a little too much."""
+    rnd = random.Random(seed)
+    base, out = [f"b{i}" for i in range(120)], []
+    for _ in range(n):
+        words = list(base)
+        for at in rnd.sample(range(120), 2):
+            words[at] = f"n{rnd.randrange(50)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("members", "light"), [(4096, 256), (100, 256), (100, 1)])
+def test_work_grows_with_a_family_of_near_copies(spark, monkeypatch, members, light):
+    monkeypatch.setattr(j, "MEMBERS", members)
+    monkeypatch.setattr(j, "LIGHT", light)
+    sent, verify = [], j._stars
+    monkeypatch.setattr(j, "_stars", lambda groups: (sent.append(out := j.written(verify(groups))), out)[1])
+    compared = {}
+    for n in (150, 600):
+        texts = just_apart(n, 3)
+        found = j.join(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA), j.OP9)
+        compared[n] = sum(x.count() for x in sent)
+        sent.clear()
+        if n == 150:
+            assert {r.id: (r.n, r.component) for r in j.grouped(found).collect()} == brute(list(enumerate(texts)), j.OP9)
+    if light > 1:
+        assert compared[600] <= 6 * compared[150]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_family_is_settled_as_by_all_pairs(seed):
+    rnd, m = random.Random(seed), j.Measure(1, 80, 100)
+    centre = set(range(40))
+    sets = []
+    for _ in range(60):
+        base = rnd.choice(sets)[:] if sets and rnd.random() < 0.7 else sorted(centre)
+        sets.append(sorted(set(base) - set(rnd.sample(range(40), 3)) | set(rnd.sample(range(40, 60), rnd.randrange(4)))))
+    jac = lambda a, b: m.q * len(a & b) >= m.p * len(a | b)
+    diffs = [sorted(set(s) ^ centre) for s in sets]
+    linked = np.array([jac(set(s), centre) for s in sets])
+    label = j.settled(m, np.array([len(s) for s in sets]), np.array([len(x) for x in diffs]), linked, np.array(sum(diffs, []), np.int64), np.concatenate([[0], np.cumsum([len(x) for x in diffs])]))
+    up = list(range(61))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for k in [0] * int(linked[i]) + [k + 1 for k, t in enumerate(sets) if jac(set(s), set(t))]:
+            up[max(top(i + 1), top(k))] = min(top(i + 1), top(k))
+    assert label.tolist() == [top(i + 1) for i in range(60)]
+
+
 def test_layout_covers_every_difference():
     for m in (j.OP9, j.NEAR):
         layout = j.Layout(m, {b: 10**5 for b in range(30)})
