@@ -419,10 +419,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(sig, text) of each set of ``rows``, from the least of its rows. Only texts of rows that repeat are shuffled to leave one."""
-    times = rows.groupBy("sig", "row").agg(F.count("*").alias("times"))
-    chosen = written(times.groupBy("sig").agg(F.min(F.struct("row", "times")).alias("least")).select("sig", "least.*"))
+def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, text) of each ``wanted`` set, from the least of its rows. Only texts of rows that repeat are shuffled to leave one."""
+    times = rows.groupBy("sig", "row").agg(F.count("*").alias("times"))  # before the sets meet, so that one with many copies stays spread
+    least = times.groupBy("sig").agg(F.min(F.struct("row", "times")).alias("least"))
+    chosen = written(least.join(wanted, "sig", "left_semi").select("sig", "least.*"))
     some = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     found = docs.select("row", "text").join(some, "row")
     once = found.filter("times = 1").select("sig", "text")
@@ -462,7 +463,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
         if texts is None:
             # Later rounds compare sets of the first one only.
             wanted = pairs.select("sig").union(pairs.select(F.col("centre").alias("sig"))).distinct()
-            texts = written(_texts(docs, own.join(wanted, "sig", "left_semi")))
+            texts = written(_texts(docs, own, wanted))
         centres = pairs.select(F.col("centre").alias("sig")).distinct()
         of_centre = texts.join(centres, "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
         compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
