@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
-from tessera.llm.shared import unused, written
+from tessera.llm.shared import Scratch, unused, written
 from tessera.sources.tables import table
 
 #: Ratio of the set sizes at a band's ends.
@@ -332,17 +333,17 @@ def _settle(m: Measure):
     return run
 
 
-def _split(m: Measure, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(m: Measure, rows: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     """(families (fam, centre, sig, n, d, linked, diff) by leading element; links (a, b)) of large families."""
-    size = written(rows.groupBy("fam").agg(F.count("*").alias("size")))
+    size = s.written(rows.groupBy("fam").agg(F.count("*").alias("size")))
     often = rows.select("fam", F.explode("diff").alias("e")).groupBy("fam", "e").agg(F.count("*").alias("often"))
-    often = written(often.join(_side(size), "fam").withColumn("most", F.expr("2 * often > size")))
+    often = s.written(often.join(_side(size), "fam").withColumn("most", F.expr("2 * often > size")))
     most = often.filter("most").groupBy("fam").agg(F.collect_list("e").alias("turned"))
     turned = F.concat(F.array_except("diff", "turned"), F.array_except("turned", "diff"))
     rows = rows.join(_side(most), "fam", "left").withColumn("diff", F.when(F.col("turned").isNull(), F.col("diff")).otherwise(turned))
     rows = rows.withColumn("d", F.size("diff").cast("long")).withColumn("excess", m.excess(F.col("d"), F.col("n")))
-    rows = written(rows.select("fam", "sig", "n", "d", "diff", "excess"))
-    best = written(rows.groupBy("fam").agg(F.min(F.struct("excess", "sig")).alias("best")).select("fam", F.col("best.sig").alias("centre"), F.col("best.excess").alias("least")))
+    rows = s.written(rows.select("fam", "sig", "n", "d", "diff", "excess"))
+    best = s.written(rows.groupBy("fam").agg(F.min(F.struct("excess", "sig")).alias("best")).select("fam", F.col("best.sig").alias("centre"), F.col("best.excess").alias("least")))
     rows = rows.join(_side(best), "fam").withColumn("linked", F.expr("excess + least <= 0"))
     links = rows.filter("linked AND sig <> centre").select(F.col("sig").alias("a"), F.col("centre").alias("b"))
     # A pair of which one isn't linked has so many elements in common, or more.
@@ -359,46 +360,49 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _resolved(m: Measure, families: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+def _resolved(m: Measure, families: DataFrame, s: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
     """(links (a, b) within families; groups (key, sig) that need a centre of their own, or None)."""
     links, left = [], None
     while True:
         sizes = families.groupBy("fam").agg(F.count("*").alias("members"), F.sum(F.size("diff").cast("long")).alias("elements"), F.min("linked").alias("all"))
-        sizes = written(sizes.filter("members > 1 AND NOT all").drop("all"))
+        sizes = s.written(sizes.filter("members > 1 AND NOT all").drop("all"))
         large = (F.col("members") > MEMBERS) | ((F.col("elements") > ELEMENTS) & (F.col("members") > FEW))
         small = families.join(_side(sizes.filter(~large).select("fam")), "fam", "left_semi")
-        links.append(written(small.repartition("fam").sortWithinPartitions("fam").mapInArrow(_settle(m), "a long, b long")))
-        sizes = written(sizes.filter(large).withColumn("light", F.expr(f"elements <= {LIGHT} * members")))
+        links.append(s.written(small.repartition("fam").sortWithinPartitions("fam").mapInArrow(_settle(m), "a long, b long")))
+        sizes = s.written(sizes.filter(large).withColumn("light", F.expr(f"elements <= {LIGHT} * members")))
         if sizes.isEmpty():
             return links, left
-        rows = written(families.join(_side(sizes), "fam"))
+        rows = s.written(families.join(_side(sizes), "fam"))
         if not sizes.filter("NOT light").isEmpty():
-            groups, beside = _split(m, rows.filter("NOT light"))
-            groups = written(groups.select(F.col("fam").alias("key"), "sig"))
+            groups, beside = _split(m, rows.filter("NOT light"), s)
+            groups = s.written(groups.select(F.col("fam").alias("key"), "sig"))
             left = groups if left is None else left.unionByName(groups)
-            links.append(written(beside))
-        families, beside = _split(m, rows.filter("light"))
-        families = written(families)
-        links.append(written(beside))
+            links.append(s.written(beside))
+        families, beside = _split(m, rows.filter("light"), s)
+        families = s.written(families)
+        links.append(s.written(beside))
 
 
-def _stars(groups: DataFrame) -> DataFrame:
+def _stars(groups: DataFrame, s: Scratch) -> DataFrame:
     """(centre, sig, last) of the members (key, sig) of each group; its centre is the member that is in most groups.
 
     ``last`` are those of whose groups none has a third member, so no pair beside theirs.
     """
-    groups = written(groups)
+    groups = s.written(groups)
     often = groups.groupBy("sig").agg(F.count("*").alias("often"))
     centres = groups.join(often, "sig").groupBy("key").agg(F.max(F.struct("often", "sig"))["sig"].alias("centre"), (F.count("*") == 2).alias("last"))
-    centres = written(centres)  # a plain side: a hot key of the other can be split
+    centres = s.written(centres)  # a plain side: a hot key of the other can be split
     return groups.join(centres, "key").filter("sig <> centre").groupBy("centre", "sig").agg(F.min("last").alias("last"))
 
 
-def _groups(index: DataFrame) -> DataFrame:
-    """(key, sig) of the keys that several sets share, one of them in its own band."""
-    index = written(index)
-    shared = index.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("native").alias("some"))
-    return index.join(written(shared.filter("low < high AND some").select("key")), "key", "left_semi").select("key", "sig").distinct()
+def _groups(index: DataFrame, s: Scratch) -> DataFrame:
+    """(key, sig) of the keys that several texts share, one of them in its own band.
+
+    The index is made twice, which takes less than to keep it; only the number of texts that have a key is shuffled at first.
+    """
+    native = 1 << 40  # above all counts
+    shared = index.groupBy("key").agg(F.sum(F.when(F.col("native"), native + 1).otherwise(1)).alias("n")).filter(f"n > {native} AND n % {native} > 1")
+    return index.join(_side(s.written(shared.select("key"))), "key", "left_semi").select("key", "sig").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -407,16 +411,17 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node takes the least label of itself, its neighbours and its label's
     label, so labels cross paths in jumps.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = labels.join(near.withColumnRenamed("a", "node"), "node").join(jump, "label")
-        new = written(new.select("node", F.least("label", "near", "beyond").alias("next"), F.col("label").alias("was")))
-        labels = new.select("node", F.col("next").alias("label"))
-        if new.filter("next <> was").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    with Scratch(links.sparkSession) as s:
+        edges = s.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        labels = s.written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+        while True:
+            near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+            new = labels.join(near.withColumnRenamed("a", "node"), "node").join(jump, "label")
+            new = s.written(new.select("node", F.least("label", "near", "beyond").alias("next"), F.col("label").alias("was")))
+            labels = new.select("node", F.col("next").alias("label"))
+            if new.filter("next <> was").isEmpty():
+                return written(labels.withColumnRenamed("label", "component"))
 
 
 def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -448,6 +453,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     linked to one centre aren't compared with each other.
     """
     text = F.col(text_col)
+    spark = docs.sparkSession
     docs = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     rows = written(docs.mapInArrow(_profile(m), f"row long, id {kind}, n long, sig long"))
@@ -456,29 +462,30 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9)
     bands = Layout(m, {r.band: r.n for r in own.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()})
     index = docs.filter("id IS NOT NULL").mapInArrow(_index(m, bands), "key long, sig long, native boolean")
-    pairs = written(_stars(_groups(index)))
-    texts, links, rounds = None, [], 0
-    while not pairs.isEmpty():
-        rounds += 1
-        if texts is None:
-            # Later rounds compare sets of the first one only.
-            wanted = pairs.select("sig").union(pairs.select(F.col("centre").alias("sig"))).distinct()
-            texts = written(_texts(docs, own, wanted))
-        centres = pairs.select(F.col("centre").alias("sig")).distinct()
-        of_centre = texts.join(centres, "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
-        compared = pairs.join(texts, "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
-        compared = written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far array<long>"))
-        found, left = _resolved(m, _families(compared))
-        links += [compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")), *found]
-        if left is None:
-            break
-        pairs = written(_stars(left.distinct()))
-    if not links:
-        return Join(rows, None, rounds)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return Join(rows, components(every).withColumnRenamed("node", "sig"), rounds)
+    with Scratch(spark) as own_scratch:
+        with Scratch(spark) as first:
+            pairs = own_scratch.written(_stars(_groups(index, first), first))
+        texts, links, rounds = None, [], 0
+        while not pairs.isEmpty():
+            rounds += 1
+            if texts is None:
+                # Later rounds compare sets of the first one only.
+                wanted = pairs.select("sig").union(pairs.select(F.col("centre").alias("sig"))).distinct()
+                texts = own_scratch.written(_texts(docs, own, wanted))
+            with Scratch(spark) as now:
+                centres = pairs.select(F.col("centre").alias("sig")).distinct()
+                of_centre = texts.join(_side(centres), "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
+                compared = texts.join(_side(pairs), "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
+                compared = now.written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far array<long>"))
+                found, left = _resolved(m, _families(compared), now)
+                found.append(compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
+                links.append(own_scratch.written(reduce(DataFrame.unionByName, found)))
+                if left is None:
+                    break
+                pairs = own_scratch.written(_stars(left.distinct(), now))
+        if not links:
+            return Join(rows, None, rounds)
+        return Join(rows, components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "sig"), rounds)
 
 
 def grouped(found: Join) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,6 +43,29 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables that are needed only within a ``with`` block: at its end they go, and so do the shuffle files of what was computed.
+
+    Spark removes shuffle files when the driver's JVM collects the plans that made them, so it is asked to.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_folder(self.spark))
+        return saved(df, self.paths[-1])
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

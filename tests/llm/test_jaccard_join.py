@@ -103,7 +103,7 @@ def test_work_grows_with_a_family_of_near_copies(spark, monkeypatch, members, li
     monkeypatch.setattr(j, "MEMBERS", members)
     monkeypatch.setattr(j, "LIGHT", light)
     sent, verify = [], j._stars
-    monkeypatch.setattr(j, "_stars", lambda groups: (sent.append(out := j.written(verify(groups))), out)[1])
+    monkeypatch.setattr(j, "_stars", lambda groups, s: (sent.append(out := j.written(verify(groups, s))), out)[1])
     compared = {}
     for n in (150, 600):
         texts = just_apart(n, 3)
