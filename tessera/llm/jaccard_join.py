@@ -14,7 +14,7 @@ Sets that share a key form a group, if one of them has its own size band there.
 compared with the member of its group that shares most keys in all, its centre. The members of
 a centre are its family; their differences to it tell all about their links: x and y differ in
 |x - centre| + |y - centre| less twice what both differences have in common. So a family is settled in one
-task from the differences alone, and only links of a spanning forest leave it. Members far from the centre are
+task from the differences alone, and only links of a spanning forest leave it. Of each group, members far from the centre are
 a family of their own, whose differences are to the empty set.
 
 A family of more than ``MEMBERS`` is split. Elements that over half of the differences hold are
@@ -222,9 +222,8 @@ def _index(m: Measure, bands: Layout):
 def _verify(m: Measure):
     """Compares sets with their centres.
 
-    ``diff`` is what only one of the two has, for sets near the centre; ``far`` are the
-    elements of a set far from it. Linked sets differ by at most what is permitted, so
-    that either both count as near or both as far.
+    ``diff`` is what only one of the two has, for sets near the centre. Linked sets differ by at most
+    what is permitted, so that either both count as near or both as far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,18 +246,35 @@ def _verify(m: Measure):
                 d = len(diff)
                 near = not last and d <= FAR * len(c) + m.differences(np.int64(len(x)))
                 far = not last and d > FAR * len(c)
-                out.append((centre, member, m.links((len(x) + len(c) - d) // 2, len(x), len(c)), len(x), d, diff.view(np.int64) if near else None, x.view(np.int64) if far else None))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                out.append((centre, member, m.links((len(x) + len(c) - d) // 2, len(x), len(c)), len(x), d, diff.view(np.int64) if near else None, far))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
             names = ["centre", "sig", "linked", "n", "d", "diff", "far"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def _families(compared: DataFrame) -> DataFrame:
-    """(fam, centre, sig, n, d, linked, diff): the members near each centre, and those far from it."""
+def _sets(m: Measure):
+    """(sig, n, diff): each set's elements, its difference to the empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, text in ta.slices(batches, "text"):
+            key, of = shingles(m, text)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(text)))])
+            diff = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[np.argsort(of, kind="stable")].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part["sig"], pa.array(np.diff(offsets)), diff], names=["sig", "n", "diff"])
+
+    return run
+
+
+def _families(m: Measure, compared: DataFrame, keyed: DataFrame, texts: DataFrame, s: Scratch) -> DataFrame:
+    """(fam, centre, sig, n, d, linked, diff): the members near each centre, and of each group those far from its centre, if there are several."""
     near = compared.filter("diff IS NOT NULL").select(F.xxhash64("centre").alias("fam"), "centre", "sig", "n", "d", "linked", "diff")
-    far = compared.filter("far IS NOT NULL").select(F.xxhash64("centre", F.lit("far")).alias("fam"), "centre", "sig", "n", F.col("n").alias("d"), F.lit(False).alias("linked"), F.col("far").alias("diff"))
+    away = keyed.join(_side(s.written(compared.filter("far").select("centre", "sig"))), ["centre", "sig"], "left_semi").select("key", "sig")
+    away = s.written(away)
+    away = s.written(away.join(_side(away.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")), "key", "left_semi"))
+    sets = texts.join(_side(away.select("sig").distinct()), "sig", "left_semi").select("sig", "text").mapInArrow(_sets(m), "sig long, n long, diff array<long>")
+    far = _side(away).join(sets, "sig").select(F.xxhash64("key", F.lit("far")).alias("fam"), F.lit(0).cast("long").alias("centre"), "sig", "n", F.col("n").alias("d"), F.lit(False).alias("linked"), "diff")
     return near.unionByName(far)
 
 
@@ -383,8 +399,8 @@ def _resolved(m: Measure, families: DataFrame, s: Scratch) -> tuple[list[DataFra
         links.append(s.written(beside))
 
 
-def _stars(groups: DataFrame, s: Scratch) -> DataFrame:
-    """(centre, sig, last) of the members (key, sig) of each group; its centre is the member that is in most groups.
+def _stars(groups: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((centre, sig, last) of the members (key, sig) of each group, (key, centre, sig)); a centre is the member that is in most groups.
 
     ``last`` are those of whose groups none has a third member, so no pair beside theirs.
     """
@@ -392,7 +408,8 @@ def _stars(groups: DataFrame, s: Scratch) -> DataFrame:
     often = groups.groupBy("sig").agg(F.count("*").alias("often"))
     centres = groups.join(often, "sig").groupBy("key").agg(F.max(F.struct("often", "sig"))["sig"].alias("centre"), (F.count("*") == 2).alias("last"))
     centres = s.written(centres)  # a plain side: a hot key of the other can be split
-    return groups.join(centres, "key").filter("sig <> centre").groupBy("centre", "sig").agg(F.min("last").alias("last"))
+    keyed = groups.join(centres, "key").filter("sig <> centre")
+    return s.written(keyed.groupBy("centre", "sig").agg(F.min("last").alias("last"))), keyed.filter("NOT last").select("key", "centre", "sig")
 
 
 def _groups(index: DataFrame, s: Scratch) -> DataFrame:
@@ -402,7 +419,7 @@ def _groups(index: DataFrame, s: Scratch) -> DataFrame:
     """
     native = 1 << 40  # above all counts
     shared = index.groupBy("key").agg(F.sum(F.when(F.col("native"), native + 1).otherwise(1)).alias("n")).filter(f"n > {native} AND n % {native} > 1")
-    return index.join(_side(s.written(shared.select("key"))), "key", "left_semi").select("key", "sig").distinct()
+    return index.join(s.written(shared.select("key")), "key", "left_semi").select("key", "sig").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -464,7 +481,8 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     index = docs.filter("id IS NOT NULL").mapInArrow(_index(m, bands), "key long, sig long, native boolean")
     with Scratch(spark) as own_scratch:
         with Scratch(spark) as first:
-            pairs = own_scratch.written(_stars(_groups(index, first), first))
+            groups = own_scratch.written(_groups(index, first))
+        pairs, keyed = _stars(groups, own_scratch)
         texts, links, rounds = None, [], 0
         while not pairs.isEmpty():
             rounds += 1
@@ -476,13 +494,13 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
                 centres = pairs.select(F.col("centre").alias("sig")).distinct()
                 of_centre = texts.join(_side(centres), "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
                 compared = texts.join(_side(pairs), "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
-                compared = now.written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far array<long>"))
-                found, left = _resolved(m, _families(compared), now)
+                compared = now.written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far boolean"))
+                found, left = _resolved(m, _families(m, compared, keyed, texts, now), now)
                 found.append(compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
                 links.append(own_scratch.written(reduce(DataFrame.unionByName, found)))
                 if left is None:
                     break
-                pairs = own_scratch.written(_stars(left.distinct(), now))
+                pairs, keyed = _stars(left.distinct(), own_scratch)
         if not links:
             return Join(rows, None, rounds)
         return Join(rows, components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "sig"), rounds)
