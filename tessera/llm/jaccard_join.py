@@ -15,7 +15,8 @@ compared with the member of its group that shares most keys in all, its centre.
 a centre are its family; their differences to it tell all about their links: x and y differ in
 |x - centre| + |y - centre| less twice what both differences have in common. So a family is settled in one
 task from the differences alone, and only links of a spanning forest leave it. Of each group, members far from the centre are
-a family of their own, whose differences are to the empty set.
+a family of their own, whose differences are to the empty set; those whose sketch, of a bit for each element, differs too much from
+all others' are left out before.
 
 A family of more than ``MEMBERS`` is split. Elements that over half of the differences hold are
 turned round in all of them, which moves the centre to what most members have in common; then no element is in more than half. The member
@@ -246,14 +247,76 @@ def _verify(m: Measure):
                 d = len(diff)
                 near = not last and d <= FAR * len(c) + m.differences(np.int64(len(x)))
                 far = not last and d > FAR * len(c)
-                out.append((centre, member, m.links((len(x) + len(c) - d) // 2, len(x), len(c)), len(x), d, diff.view(np.int64) if near else None, far))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+                out.append((centre, member, m.links((len(x) + len(c) - d) // 2, len(x), len(c)), len(x), d, diff.view(np.int64) if near else None, sketch(x) if far else None))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             names = ["centre", "sig", "linked", "n", "d", "diff", "far"]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Bits of a set, about one for each element: whether an odd number of elements falls on it. Sets that differ in d elements differ in d bits at most."""
+    bits = 64
+    while bits < len(elements):
+        bits *= 2
+    odd = np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def plausible(m: Measure, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Which of the sets may link with another one, by their sketches."""
+    out, size = np.zeros(len(n), bool), np.array([len(x) for x in sketches])
+    for short in np.unique(size):
+        # Longer sketches are folded to this one's bits; sets with yet longer ones are too large for a link.
+        own, words = np.flatnonzero(size == short), int(short) // 8
+        at, rows = [own], [np.frombuffer(b"".join(sketches[i] for i in own), "<u8").reshape(-1, words)]
+        for more in np.unique(size[(size > short) & (size * m.p <= 2 * short * m.q)]):
+            at.append(np.flatnonzero(size == more))
+            longer = np.frombuffer(b"".join(sketches[i] for i in at[-1]), "<u8")
+            rows.append(np.bitwise_xor.reduce(longer.reshape(len(at[-1]), -1, words), axis=1))
+        at, bits = np.concatenate(at), np.concatenate(rows)
+        for i, member in enumerate(own):
+            apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = (m.q + m.p) * apart <= (m.q - m.p) * (n[at] + n[member])
+            near[i] = False
+            if near.any():
+                out[member] = out[at[near]] = True
+    return out
+
+
+def _plausible(m: Measure):
+    """(key, sig) of the sets that may link with another one of their group; rows come sorted by ``key``."""
+
+    def kept(held: list[pa.RecordBatch], whole: bool) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if whole:
+            rows = rows.filter(pa.array(plausible(m, rows["n"].to_numpy(), rows["far"].to_pylist())))
+        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()) for c in ("key", "sig")], names=["key", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, whole = 0, True
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[0]["key"][0].as_py() != key[a]:
+                    yield kept(held, whole)
+                    held, count, whole = [], 0, True
+                held.append(batch.slice(a, b - a))
+                count += b - a
+                if count > MEMBERS or sum(x.get_total_buffer_size() for x in held) > 8 * ELEMENTS * 4:
+                    yield kept(held, False)  # a group beyond what a task holds goes on as it is
+                    held, count, whole = [], 0, False
+        if held:
+            yield kept(held, whole)
+
+    return run
+
+
 def _sets(m: Measure):
     """(sig, n, diff): each set's elements, its difference to the empty set."""
 
@@ -268,11 +331,12 @@ def _sets(m: Measure):
 
 
 def _families(m: Measure, compared: DataFrame, keyed: DataFrame, texts: DataFrame, s: Scratch) -> DataFrame:
-    """(fam, centre, sig, n, d, linked, diff): the members near each centre, and of each group those far from its centre, if there are several."""
+    """(fam, centre, sig, n, d, linked, diff): the members near each centre, and of each group those far from its centre that may link with each other."""
     near = compared.filter("diff IS NOT NULL").select(F.xxhash64("centre").alias("fam"), "centre", "sig", "n", "d", "linked", "diff")
-    away = keyed.join(_side(s.written(compared.filter("far").select("centre", "sig"))), ["centre", "sig"], "left_semi").select("key", "sig")
-    away = s.written(away)
-    away = s.written(away.join(_side(away.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")), "key", "left_semi"))
+    away = s.written(keyed.join(_side(s.written(compared.filter("far IS NOT NULL").select("centre", "sig"))), ["centre", "sig"], "left_semi").select("key", "sig"))
+    away = away.join(_side(away.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")), "key", "left_semi")
+    bits = compared.filter("far IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("far").alias("far"))
+    away = s.written(away.join(bits, "sig").repartition("key").sortWithinPartitions("key").select("key", "sig", "n", "far").mapInArrow(_plausible(m), "key long, sig long"))
     sets = texts.join(_side(away.select("sig").distinct()), "sig", "left_semi").select("sig", "text").mapInArrow(_sets(m), "sig long, n long, diff array<long>")
     far = _side(away).join(sets, "sig").select(F.xxhash64("key", F.lit("far")).alias("fam"), F.lit(0).cast("long").alias("centre"), "sig", "n", F.col("n").alias("d"), F.lit(False).alias("linked"), "diff")
     return near.unionByName(far)
@@ -494,7 +558,7 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
                 centres = pairs.select(F.col("centre").alias("sig")).distinct()
                 of_centre = texts.join(_side(centres), "sig", "left_semi").select(F.col("sig").alias("centre"), F.col("text").alias("centre_text"))
                 compared = texts.join(_side(pairs), "sig").join(of_centre, "centre").select("centre", "sig", "last", "text", "centre_text")
-                compared = now.written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far boolean"))
+                compared = now.written(compared.mapInArrow(_verify(m), "centre long, sig long, linked boolean, n long, d long, diff array<long>, far binary"))
                 found, left = _resolved(m, _families(m, compared, keyed, texts, now), now)
                 found.append(compared.filter("linked").select(F.col("centre").alias("a"), F.col("sig").alias("b")))
                 links.append(own_scratch.written(reduce(DataFrame.unionByName, found)))

@@ -141,6 +141,18 @@ def test_a_family_is_settled_as_by_all_pairs(seed):
     assert label.tolist() == [top(i + 1) for i in range(60)]
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(2)
+    for m in (j.NEAR, j.OP9):
+        sets = []
+        for n in (3, 60, 64, 65, 70, 500, 520, 600):
+            base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            sets += [base] + [np.unique(np.concatenate([base[: n - k], rng.integers(0, 1 << 62, k).astype(np.uint64)])) for k in (1, n // 12, n // 3)]
+        want = [any(m.links(len(np.intersect1d(a, b)), len(a), len(b)) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+        got = j.plausible(m, np.array([len(x) for x in sets]), [j.sketch(x) for x in sets])
+        assert all(got[np.array(want)]) and any(want) and not all(got)
+
+
 def test_layout_covers_every_difference():
     for m in (j.OP9, j.NEAR):
         layout = j.Layout(m, {b: 10**5 for b in range(30)})
