@@ -4,13 +4,18 @@ The tree predicts the next byte of a UTF-8 text, or its end, from a context of u
 to ``DEPTH`` symbols. Contexts that occur ``MIN_COUNT`` times are candidates, whatever
 the size of the corpus; one is retained if its next symbols diverge from those after
 its suffix by more than ``MIN_GAIN`` nats over all its occurrences. Distributions are
-smoothed towards the longest retained suffix's. The tree is a table. A context and
-its next symbol, a gram, have one probability: the most frequent ``HEAD_GRAMS`` go to
-every task, the distinct others of a block of texts meet theirs in a join.
+smoothed towards the longest retained suffix's.
+
+A context and its next symbol are a gram. The grams of all training texts are counted
+once, at full depth. Grams whose contexts share their last ``SPLIT`` symbols are dealt to
+one place, in order, and hold the whole subtree below those: counts at all its levels, tests and
+probabilities need no further shuffle. Contexts shorter than ``SPLIT`` go to every task;
+UTF-8 allows under four million grams of them. The most frequent ``HEAD_GRAMS`` grams with their
+probabilities go to every task that scores, the others of each text meet theirs in a join.
 
 Counts of words and byte strings cover every training text. Scores by word counts
 need the count of each word: the most frequent ``HEAD`` words go to every task,
-rarer ones meet their counts in a join.
+rarer ones meet their counts in the same join.
 
 A-Z count as a-z throughout. Null and empty texts consist of the end alone. A row with a null id is a training
 row. Repeated rows count each time. Without training rows every symbol is equally
@@ -32,18 +37,22 @@ from tessera.llm import textarrays as ta
 from tessera.llm.shared import written
 from tessera.sources.tables import table
 
-DEPTH = 5
+DEPTH = 6
+#: Symbols before the next that grams of one place share.
+SPLIT = 3
 MIN_COUNT = 2
 MIN_GAIN = 10.0
 #: Weight of the suffix's distribution, in symbols.
 SMOOTHING = 8.0
 #: Words whose counts, and grams whose probabilities every task holds.
-HEAD, HEAD_GRAMS = 1 << 18, 1 << 19
+HEAD, HEAD_GRAMS = 1 << 18, 1 << 21
 #: Symbols: bytes, the end of a text, what stands before its first byte, and what fills up stretches.
 END, BEFORE, NONE = 256, 257, 258
 BITS = 9
 #: Symbols scored in a stretch, and counts that a task holds before it merges them.
 STRETCH, HELD = 256, 4_000_000
+#: Grams of whole subtrees that a task takes at a time, if it can.
+TAKEN = 1_000_000
 WORD, GRAM = 0, 1
 
 
@@ -122,64 +131,143 @@ def _mask(n: int) -> int:
     return (1 << BITS * n) - 1
 
 
-def _contexts(grams: DataFrame) -> DataFrame:
-    """(depth, context, next, n, sum) of the root and the candidates that diverge from their suffix.
+@dataclass
+class Level:
+    """Contexts of one length: their grams (ascending) and, by gram, its count, its context's, and whether that is retained."""
 
-    A candidate is compared with the suffix one symbol shorter; what is shared by
-    both is smoothed alike.
-    """
-    level = grams.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(_mask(1))).alias("next"), "n")
-    levels = {DEPTH: level}
-    for depth in range(DEPTH - 1, -1, -1):  # each from the one before, which is written, not counted anew
-        shorter = F.col("context").bitwiseAND(F.lit(_mask(depth)))
-        levels[depth] = written(levels[depth + 1].groupBy(shorter.alias("context"), "next").agg(F.sum("n").alias("n")))
-    out = None
-    for depth, rows in levels.items():
-        sums = rows.groupBy("context").agg(F.sum("n").alias("sum")).filter(F.col("sum") >= (MIN_COUNT if depth else 1))
-        rows = rows.join(sums, "context").select(F.lit(depth).alias("depth"), "context", "next", "n", "sum")
-        out = rows if out is None else out.unionByName(rows)
-    out = written(out)
-    above = out.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "next", F.col("n").alias("n_up"), F.col("sum").alias("sum_up"))
-    suffix = F.lit(0).cast("long")
-    for depth in range(1, DEPTH + 1):
-        suffix = F.when(F.col("depth") == depth, F.col("context").bitwiseAND(F.lit(_mask(depth - 1)))).otherwise(suffix)
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("sum") * F.col("sum_up") / F.col("n_up")))
-    differ = out.filter("depth > 0").withColumn("suffix", suffix).join(above, ["depth", "suffix", "next"]).groupBy("depth", "context").agg(gain.alias("gain")).filter(F.col("gain") > MIN_GAIN)
-    return out.join(differ.select("depth", "context"), ["depth", "context"], "left_semi").unionByName(out.filter("depth = 0")).select("depth", "context", "next", "n", "sum")
-
-
-def _log10(grams: DataFrame, contexts: DataFrame, symbols: int) -> DataFrame:
-    """(key, log10): the probability that the longest retained suffix of its context gives each of the distinct grams."""
-    levels = {DEPTH: grams}
-    for depth in range(DEPTH - 1, -1, -1):
-        levels[depth] = written(levels[depth + 1].select(F.col("key").bitwiseAND(F.lit(_mask(depth + 1))).alias("key")).distinct())
+    grams: np.ndarray
+    n: np.ndarray
+    total: np.ndarray
+    kept: np.ndarray
+
+    @classmethod
+    def of(cls, depth: int, keys: np.ndarray, n: np.ndarray, up: Level | None) -> Level:
+        """From counts of all longer or equal grams whose contexts end alike; ``up`` is the level one symbol shorter.
+
+        A candidate is compared with that suffix; what is shared by both is smoothed alike.
+        """
+        grams, back = np.unique(keys & _mask(depth + 1), return_inverse=True)
+        n = np.bincount(back, n, len(grams)).astype(np.int64)
+        _, context = np.unique(grams >> BITS, return_inverse=True)
+        total = np.bincount(context, n).astype(np.int64)[context] if len(grams) else n
+        if up is None:
+            return cls(grams, n, total, np.ones(len(grams), bool))
+        at, seen = np.searchsorted(up.grams, grams & _mask(depth)), n > 0
+        gain = np.zeros(len(grams))
+        gain[seen] = n[seen] * np.log(n[seen] / total[seen] * up.total[at[seen]] / up.n[at[seen]])
+        return cls(grams, n, total, (total >= MIN_COUNT) & ((np.bincount(context, gain)[context] if len(grams) else gain) > MIN_GAIN))
+
+    def rows(self, grams: np.ndarray) -> Level:
+        """The level for ``grams`` alone, which may lack a count or a context."""
+        n, _ = _looked_up(self.grams, self.n, grams)
+        contexts, first = np.unique(self.grams >> BITS, return_index=True)
+        total, _ = _looked_up(contexts, self.total[first], grams >> BITS)
+        kept, _ = _looked_up(contexts, self.kept[first], grams >> BITS)
+        return Level(grams, n, total, kept.astype(bool))
+
+
+def _shallow(grams: DataFrame) -> list[Level]:
+    """The levels of contexts shorter than ``SPLIT``; UTF-8 bounds how many grams they have."""
+    key = F.col("key").bitwiseAND(F.lit(_mask(SPLIT)))
+    counts = grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n, levels = counts["key"].to_numpy(), counts["n"].to_numpy(), []
+    for depth in range(SPLIT):
+        levels.append(Level.of(depth, keys, n, levels[-1] if levels else None))
+    return levels
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, shallow: list[Level]) -> list[Level]:
+    """All levels of the subtrees that ``keys`` (any order, some perhaps without a count) are the grams of."""
+    levels = [level.rows(np.unique(keys & _mask(depth + 1))) for depth, level in enumerate(shallow)]
+    for depth in range(SPLIT, DEPTH + 1):
+        levels.append(Level.of(depth, keys, n, levels[-1]))
+    return levels
+
+
+def _probability(levels: list[Level]) -> np.ndarray:
+    """Of each gram of the last level, by the longest retained suffix of its context."""
     p = None
-    for depth in range(DEPTH + 1):
-        there = contexts.filter(F.col("depth") == depth)
-        seen = there.select(F.shiftleft("context", BITS).bitwiseOR(F.col("next")).alias("key"), "n")
-        own, n = levels[depth].join(seen, "key", "left"), F.coalesce("n", F.lit(0))
+    for depth, level in enumerate(levels):
         if p is None:
-            p = own.select("key", ((n + 0.5) / (symbols + 0.5 * (END + 1))).alias("p"))
+            symbols = level.total.max(initial=0)
+            p = (level.n + 0.5) / (symbols + 0.5 * (END + 1))
             continue
-        own = own.select("key", n.alias("n"), F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(_mask(depth))).alias("up"))
-        own = own.join(there.select("context", "sum").distinct(), "context", "left").join(p.select(F.col("key").alias("up"), F.col("p").alias("p_up")), "up")
-        p = own.select("key", F.when(F.col("sum").isNull(), F.col("p_up")).otherwise((F.col("n") + SMOOTHING * F.col("p_up")) / (F.col("sum") + SMOOTHING)).alias("p"))
-    return p.select("key", F.log10("p").alias("log10"))
+        p = p[np.searchsorted(levels[depth - 1].grams, level.grams & _mask(depth))]
+        p = np.where(level.kept, (level.n + SMOOTHING * p) / (level.total + SMOOTHING), p)
+    return p
 
 
-def _frequent(counts: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """(at most ``most`` rows, those with the greatest ``c``; whether they are all).
+def _subtree() -> Column:
+    return F.shiftright("key", BITS).bitwiseAND(F.lit(_mask(SPLIT)))
 
-    They are cut at the least count from which there are no more, to a few per cent: no sort.
-    """
-    step = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(F.log2(F.col("c") / 256.0) * 32))
-    least, held = 0, 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The ordered rows of a task in tables of whole subtrees, ``TAKEN`` rows or more if there are so many."""
+    held, rows, enough = [], 0, TAKEN
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        whole = pa.Table.from_batches(held)
+        of = whole["key"].to_numpy() >> BITS & _mask(SPLIT)
+        cut = int(np.searchsorted(of, of[-1]))
+        if cut:
+            yield whole.slice(0, cut)
+        held, rows = whole.slice(cut).combine_chunks().to_batches(), len(whole) - cut
+        enough = max(TAKEN, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _log10(grams: DataFrame, shallow: list[Level]) -> DataFrame:
+    """(key, log10) of the rows of ``grams`` (key, n, asked) that are asked for; a gram's counts are added up."""
+    sent = grams.sparkSession.sparkContext.broadcast(shallow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _subtrees(batches):
+            keys = part["key"].to_numpy()
+            levels = _levels(keys, part["n"].to_numpy(), sent.value)
+            log = np.log10(_probability(levels))
+            wanted = np.unique(keys[part["asked"].to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(log[np.searchsorted(levels[-1].grams, wanted)])], names=["key", "log10"])
+
+    return grams.repartition(_subtree()).sortWithinPartitions(_subtree()).mapInArrow(run, "key long, log10 double")
+
+
+def contexts(model: Model) -> DataFrame:
+    """The tree as a table (depth, context, next, n): the root and the retained contexts; symbols are packed in ``BITS`` each, the last lowest."""
+    sent = model.grams.sparkSession.sparkContext.broadcast(model.shallow)
+    names = ["depth", "context", "next", "n"]
+
+    def rows(levels: list[Level], least: int) -> Iterator[pa.RecordBatch]:
+        for depth, level in enumerate(levels):
+            if depth >= least:
+                grams, n = level.grams[level.kept], level.n[level.kept]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(grams), depth, np.int32), grams >> BITS, grams & _mask(1), n))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _subtrees(batches):
+            yield from rows(_levels(part["key"].to_numpy(), part["n"].to_numpy(), sent.value), SPLIT)
+
+    kind = "depth int, context long, next long, n long"
+    deep = model.grams.repartition(_subtree()).sortWithinPartitions(_subtree()).mapInArrow(run, kind)
+    return deep.unionByName(model.grams.sparkSession.createDataFrame(pa.Table.from_batches(list(rows(model.shallow, 0))), kind))
+
+
+def _step(count: str) -> Column:
+    """Counts in steps of one, from 256 on of a few per cent."""
+    return F.when(F.col(count) < 256, F.col(count)).otherwise(256 + F.floor(F.log2(F.col(count) / 256.0) * 32))
+
+
+def _least(counts: DataFrame, count: str, most: int) -> int:
+    """The least step from which there are at most ``most`` rows, 0 if that is all of them: no sort."""
+    held = 0
+    for r in sorted(counts.groupBy(_step(count).alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
         if held + r.n > most:
-            least = r.step + 1
-            break
+            return r.step + 1
         held += r.n
-    return counts.filter(step >= least), least == 0
+    return 0
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +279,11 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tupl
     return np.where(there, values[place], 0), there
 
 
+def _lists(values: np.ndarray, of: np.ndarray, rows: int) -> pa.Array:
+    """A list of values for each row; ``of`` ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values))
+
+
 @dataclass
 class SuffixTree:
     """Automaton of the longest suffixes: next state and log10 probability by state and column of a symbol.
@@ -268,12 +361,12 @@ class SuffixTree:
 
 @dataclass
 class Model:
-    """The tree's table, and of grams and words the most frequent; the counts of all words are in ``words`` (h, c)."""
+    """Counts of all grams (key, n), the levels of short contexts, and of grams and words the most frequent; the counts of all words are in ``words`` (h, c)."""
 
-    contexts: DataFrame | None
-    symbols: int
-    grams: np.ndarray
-    grams_log10: np.ndarray
+    grams: DataFrame | None
+    shallow: list[Level]
+    often: np.ndarray
+    often_log10: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
     complete: bool
@@ -286,63 +379,55 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, counts of all words) of the texts of all rows."""
     partial = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "kind int, key long, n long")
     counts = written(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words, grams = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), F.col("n").alias("c")), counts.filter(F.col("kind") == GRAM)
+    words, grams = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), F.col("n").alias("c")), counts.filter(F.col("kind") == GRAM).select("key", "n")
     w = words.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
-    g = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.coalesce(F.sum(F.when(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) == END, F.col("n"))), F.lit(0)).alias("ends")).first()
-    contexts = written(_contexts(grams))
-    often, _ = _frequent(grams.select("key", F.col("n").alias("c")), HEAD_GRAMS)
-    often = _log10(often.select("key"), contexts, g.symbols).toArrow().sort_by("key")
-    head, complete = _frequent(words, HEAD)
-    head = head.toArrow().sort_by("h")
-    return Model(contexts, g.symbols, often["key"].to_numpy(), often["log10"].to_numpy(), head["h"].to_numpy(), head["c"].to_numpy(), complete, g.ends, w.tokens + g.ends, w.distinct + (g.ends > 0)), words
+    shallow = _shallow(grams)
+    ends = int(shallow[0].n[shallow[0].grams == END].sum())
+    often = _log10(grams.withColumn("asked", _step("n") >= _least(grams, "n", HEAD_GRAMS)), shallow).toArrow().sort_by("key")
+    least = _least(words, "c", HEAD)
+    head = words.filter(_step("c") >= least).toArrow().sort_by("h")
+    return Model(grams, shallow, often["key"].to_numpy(), often["log10"].to_numpy(), head["h"].to_numpy(), head["c"].to_numpy(), least == 0, ends, w.tokens + ends, w.distinct + (ends > 0)), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row ``id, n_tokens, n_known, base_score, score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(replace(model, contexts=None))
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, grams=None, shallow=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, task = sent.value, TaskContext.get().partitionId() << 32
-        for block, (part, text) in enumerate(ta.slices(batches, "text")):
+        m, row = sent.value, TaskContext.get().partitionId() << 40
+        for part, text in ta.slices(batches, "text"):
             text = ta.lowered(text)
             ids, distinct, offsets = ta.words(text)
             h = ta.hashes(distinct).view(np.int64)
             c, known = _looked_up(m.head, m.head_counts, h)
-            sums = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0)[ids])])
-            log = sums[offsets[1:]] - sums[offsets[:-1]]
+            log = np.bincount(ta.owner(offsets), np.log10(c + 1.0)[ids], len(text))
             n_known = ta.per_text(known[ids], offsets)
             if m.ends:
                 log, n_known = log + np.log10(m.ends + 1.0), n_known + 1
             rare = np.zeros(len(ids), bool) if m.complete else ~known[ids]
-            of = ta.owner(offsets)[rare]
-            at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(text)))]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(at), pa.array(h[ids[rare]]))
-            grams = np.unique(_grams(text)[0])
-            grams = grams[~_looked_up(m.grams, m.grams_log10, grams)[1]]
-            first = pa.ListArray.from_arrays(pa.array(np.append(0, np.full(len(text), len(grams))), pa.int32()), pa.array(grams))  # a block's grams are in its first row
+            grams, of = _grams(text)
+            grams, back = np.unique(grams, return_inverse=True)
+            p, there = _looked_up(m.often, m.often_log10, grams)
+            missed = ~there[back]
             yield pa.RecordBatch.from_arrays(
-                [part["key"], part["id"], text, *map(pa.array, (np.diff(offsets) + 1, n_known, log)), rest, pa.array(np.full(len(text), task + block)), pa.array(np.arange(len(text))), first],
-                names=["key", "id", "text", "n_tokens", "head_known", "head_log", "rare", "block", "place", "grams"],
+                [pa.array(np.arange(row, row + len(text))), part["id"], *map(pa.array, (np.diff(offsets) + 1, n_known, log, np.bincount(of, p[back], len(text)))),
+                 _lists(h[ids[rare]], ta.owner(offsets)[rare], len(text)), _lists(grams[back[missed]], of[missed], len(text))],
+                names=["row", "id", "n_tokens", "head_known", "head_log", "head_score", "words", "grams"],
             )
+            row += len(text)
 
-    def add(texts: pa.Table, joined: pa.Table) -> pa.Table:
-        m, joined = sent.value, joined.sort_by("key")
-        grams, of = _grams(pa.concat_arrays(texts["text"].chunks))
-        grams, back = np.unique(grams, return_inverse=True)
-        log = _looked_up(m.grams, m.grams_log10, grams)[0] + _looked_up(joined["key"].to_numpy(), joined["log10"].to_numpy(), grams)[0]  # in one of the two
-        return pa.table({"block": texts["block"], "place": texts["place"], "score": np.bincount(of, log[back], texts.num_rows)})
-
-    own = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    seen = written(own.mapInArrow(run, f"key long, id {kind}, text string, n_tokens long, head_known long, head_log double, rare array<long>, block long, place long, grams array<long>"))
-    asked = seen.filter("place = 0").select(F.col("block").alias("of"), F.explode("grams").alias("key"))
-    joined = asked.join(written(_log10(written(asked.select("key").distinct()), model.contexts, model.symbols)), "key").select("of", "key", "log10")
-    scores = seen.select("block", "place", "text").groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(add, "block long, place long, score double")
-    # Rows with one key have one text: its rare words are looked up once.
-    once = seen.filter(F.size("rare") > 0).select("key", "rare").dropDuplicates(["key"])
-    rare = once.select("key", F.explode("rare").alias("h")).join(words, "h").groupBy("key").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
-    log = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.tokens + model.distinct + 1))
-    return seen.drop("text", "grams").join(rare, "key", "left").join(scores, ["block", "place"]).select("id", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), log.alias("base_score"), "score")
+    seen = written(own.mapInArrow(run, f"row long, id {kind}, n_tokens long, head_known long, head_log double, head_score double, words array<long>, grams array<long>"))
+    asked = seen.select(F.explode("grams").alias("key")).distinct().select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    log10 = _log10(model.grams.withColumn("asked", F.lit(False)).unionByName(asked), model.shallow)
+    values = words.select(F.lit(WORD).alias("kind"), F.col("h").alias("key"), F.log10(F.col("c") + 1).alias("value")).unionByName(log10.select(F.lit(GRAM).alias("kind"), "key", F.col("log10").alias("value")))
+    rest = seen.select("row", F.lit(WORD).alias("kind"), F.explode("words").alias("key")).unionByName(seen.select("row", F.lit(GRAM).alias("kind"), F.explode("grams").alias("key")))
+    word = F.col("kind") == WORD
+    sums = rest.join(values, ["kind", "key"]).groupBy("row").agg(F.count(F.when(word, 1)).alias("rare_known"), F.sum(F.when(word, F.col("value"))).alias("rare_log"), F.sum(F.when(~word, F.col("value"))).alias("rare_score"))
+    none = F.lit(0.0)
+    log = F.col("head_log") + F.coalesce("rare_log", none) - F.col("n_tokens") * float(np.log10(model.tokens + model.distinct + 1))
+    return seen.drop("words", "grams").join(sums, "row", "left").select("id", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), log.alias("base_score"), (F.col("head_score") + F.coalesce("rare_score", none)).alias("score"))
 
 
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -115,9 +115,51 @@ def test_joined_scores_equal_the_automaton(spark, monkeypatch, head):
     monkeypatch.setattr(m, "HEAD_GRAMS", head)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).cache()
     model, words = m.fit(docs.filter(~m.is_held_out()))
-    tree = m.SuffixTree.build(*(model.contexts.toArrow()[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
+    table = m.contexts(model).toArrow()
+    tree = m.SuffixTree.build(*(table[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
     tests = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "\u65e5\u672c never seen"), (-3, "\u65e5\u672c never seen")], "doc_id long, text string"))
     text = {r.doc_id: (r.text or "") for r in tests.collect()}
     got = m.score(tests, model, words).collect()
     want = tree.score(m.ta.lowered(pa.array([text[r.id] for r in got], pa.string())))
     assert len(got) == len(text) + 1 and [r.score for r in got] == pytest.approx(want.tolist(), rel=1e-4)
+
+
+@pytest.mark.parametrize("taken", [m.TAKEN, 1])
+def test_retained_contexts_and_scores_equal_brute_force(spark, monkeypatch, taken):
+    monkeypatch.setattr(m, "TAKEN", taken)
+    monkeypatch.setattr(m, "HEAD_GRAMS", 200)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(25).collect()]
+    docs += [(-1, None), (-2, ""), (-3, "ab" * 400), (-3, "ab" * 400)]
+    low = lambda t: re.sub("[A-Z]", lambda c: c[0].lower(), t or "")
+    counts = defaultdict(Counter)
+    for _, t in docs:
+        s = [m.BEFORE] * m.DEPTH + list(low(t).encode()) + [m.END]
+        for i in range(m.DEPTH, len(s)):
+            for d in range(m.DEPTH + 1):
+                counts[tuple(s[i - d : i])][s[i]] += 1
+
+    def gain(c):
+        own, up = counts[c], counts[c[1:]]
+        return sum(n * math.log(n / own.total() * up.total() / up[x]) for x, n in own.items())
+
+    kept = {c: n for c, n in counts.items() if not c or n.total() >= m.MIN_COUNT and gain(c) > m.MIN_GAIN}
+    assert {len(c) for c in kept} == set(range(m.DEPTH + 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model, words = m.fit(df)
+    pack = lambda c: sum(x << m.BITS * i for i, x in enumerate(reversed(c)))
+    got = Counter(tuple(r) for r in m.contexts(model).collect())
+    assert got == Counter((len(c), pack(c), x, k) for c, n in kept.items() for x, k in n.items())
+    tests = [*docs, (-5, "Zq \u65e5\u672c never seen 09"), (-6, "e" * 300)]
+    text = {i: low(t) for i, t in tests}
+    rows = m.score(spark.createDataFrame(tests, "doc_id long, text string"), model, words).collect()
+    assert len(rows) == len(tests)
+    for r in rows:
+        assert r.score == pytest.approx(naive(text[r.id], kept), rel=1e-9)
+
+
+def test_very_long_text_scores_as_its_parts_counted(spark):
+    long = "the nation and the station " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, "the nation")], "doc_id long, text string")
+    model, words = m.fit(docs)
+    got = {r.id: r for r in m.score(docs, model, words).collect()}
+    assert got[1].n_tokens == 300_001 and got[1].n_known == 300_001 and -20_000 < got[1].score < got[2].score < 0
