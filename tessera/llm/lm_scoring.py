@@ -50,7 +50,9 @@ HEAD, HEAD_GRAMS = 1 << 18, 1 << 21
 END, BEFORE, NONE = 256, 257, 258
 BITS = 9
 #: Symbols scored in a stretch, and counts that a task holds before it merges them.
-STRETCH, HELD = 256, 4_000_000
+STRETCH, HELD = 256, 3_000_000
+#: Text bytes that a task counts or scores at a time; each takes some 50 bytes of memory meanwhile.
+SLICE_BYTES = 1 << 20
 #: Grams of whole subtrees that a task takes at a time, if it can.
 TAKEN = 1_000_000
 WORD, GRAM = 0, 1
@@ -86,7 +88,11 @@ class _Sums:
     """Sums by key; merged when many are held."""
 
     def __init__(self) -> None:
-        self.keys, self.n, self.held, self.limit = [], [], 0, HELD
+        self.limit = HELD
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.n, self.held, self.distinct = [], [], 0, 0
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         self.keys.append(keys)
@@ -100,7 +106,7 @@ class _Sums:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
         n = np.bincount(back, np.concatenate(self.n), len(keys)).astype(np.int64)
-        self.keys, self.n, self.held = [keys], [n], len(keys)
+        self.keys, self.n, self.held, self.distinct = [keys], [n], len(keys), len(keys)
         return keys, n
 
 
@@ -110,17 +116,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 100_000):
             k = keys[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i : i + 100_000])], names=["kind", "key", "n"])
-        sums.keys, sums.n, sums.held = [], [], 0
+        sums.clear()
 
     words, grams = _Sums(), _Sums()
-    for _, text in ta.slices(batches, "text"):
+    for _, text in ta.slices(batches, "text", SLICE_BYTES):
         text = ta.lowered(text)
         ids, distinct, _ = ta.words(text)
         n = np.bincount(ids, minlength=len(distinct))
         words.add(ta.hashes(distinct).view(np.int64)[n > 0], n[n > 0])
         grams.add(*np.unique(_grams(text)[0], return_counts=True))
         for kind, sums in ((WORD, words), (GRAM, grams)):
-            if sums.held > sums.limit // 2:
+            if sums.distinct > sums.limit // 2:
                 yield from rows(kind, sums)  # a task's memory doesn't grow with its input
     yield from rows(WORD, words)
     yield from rows(GRAM, grams)
@@ -395,7 +401,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = sent.value, TaskContext.get().partitionId() << 40
-        for part, text in ta.slices(batches, "text"):
+        for part, text in ta.slices(batches, "text", SLICE_BYTES):
             text = ta.lowered(text)
             ids, distinct, offsets = ta.words(text)
             h = ta.hashes(distinct).view(np.int64)
