@@ -11,9 +11,10 @@ so a document meets them without a shuffle; what is shuffled are verified hits.
 Everything runs in built-in functions.
 
 Tokens are runs of characters other than white space and ASCII punctuation, in lower
-case. Items shorter than a window must
-occur whole and unchanged, however short they are. Null and empty items and documents hold nothing. Rows that share an
-id count as one document. An empty table on either side gives no rows.
+case. Items shorter than a window must occur whole: with up to ``substitutions`` of their length, found by
+masks of every other token, those below ``LEAST_SPACED`` tokens unchanged, however short they are. A window lies within both texts.
+Null and empty items and documents hold nothing. Rows that share an
+id count as one document, rows with a null id too. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tessera.sources.tables import table
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Places that a mask looks at. Together they meet every window with two substitutions (tested for all).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+#: Tokens from which an item shorter than a window may differ in one place.
+LEAST_SPACED = 7
 #: Seeds that are sent to every task at once.
 BLOCK_SEEDS = 500_000
 #: Tokens that the longest mask spans.
@@ -68,10 +71,20 @@ def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return reduce(DataFrame.unionByName, out)
 
 
+def substitutions(length: int) -> int:
+    """Places in which a passage of this many tokens may differ."""
+    return SUBSTITUTIONS if length >= WINDOW else int(length >= LEAST_SPACED)
+
+
+def short_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks of items of fewer tokens than a window: every other place and the rest, so one differing place leaves one of them whole."""
+    return [tuple(range(length))] if not substitutions(length) else [tuple(range(0, length, 2)), tuple(range(1, length, 2))]
+
+
 def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id, item, equal, start): for each hit the first best window around it.
+    """(id, item, equal, start): for each hit all windows around it that agree enough.
 
-    Hits that fall short stay in: a condition here would move into the join, whose
+    Hits without such a window give a row of nulls: a condition here would move into the join, whose
     generated code then would have to copy a document's tokens for every place.
     """
     at = docs.select("id", "t", F.explode(_places(F.col("t"), SPAN)).alias("here"))
@@ -84,34 +97,41 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     met = at.select("id", "t", "here", F.posexplode(F.array(*every, *more)).alias("nth", "seed")).join(F.broadcast(seeds), "seed")
     shift = F.lit([0] * len(every) + [k for mask in MASKS for k in range(1, SPAN - max(mask))])
     met = met.withColumn("here", F.col("here") + F.element_at(shift, F.col("nth") + 1))
-    same = F.zip_with("around", _around(F.col("t"), F.col("here"), F.col("before")), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+    # A place beyond either text outweighs all others of its window.
+    same = F.zip_with("around", _around(F.col("t"), F.col("here"), F.col("before")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(-WINDOW)))
     met = met.select("id", "item", "here", "before", same.alias("same"))
     equal = F.transform(F.sequence(F.lit(1), F.col("before") + 1), lambda s: F.aggregate(F.slice("same", s, WINDOW), F.lit(0), lambda n, x: n + x))
-    met = met.select("id", "item", "here", "before", equal.alias("sums")).withColumn("equal", F.array_max("sums"))
-    start = F.col("here") - F.col("before") - 1 + F.array_position("sums", F.col("equal"))
-    return met.select("id", "item", "equal", start.cast("long").alias("start"), F.lit(WINDOW - SUBSTITUTIONS).alias("least"))
+    met = met.select("id", "item", (F.col("here") - F.col("before")).alias("from"), equal.alias("sums"))
+    windows = F.transform("sums", lambda n, k: F.struct(n.alias("equal"), (F.col("from") + k).cast("long").alias("start")))
+    met = met.select("id", "item", F.explode_outer(F.filter(windows, lambda w: w["equal"] >= WINDOW - SUBSTITUTIONS)).alias("w"))
+    return met.select("id", "item", "w.equal", "w.start")
 
 
-def _short(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Hits of whole items of fewer tokens than a window, in one join by length and hash; sent to every task where they are few."""
-    own = items.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("t")).filter((F.size("t") > 0) & (F.size("t") < WINDOW))
-    own = written(own.select("item", F.size("t").alias("n"), F.xxhash64("t").alias("seed"), F.col("t").alias("want")))
+def _short(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """As ``_hits`` for whole items of fewer tokens than a window: the seeds of their lengths' masks, in one join; sent to every task where they are few."""
+    own = items.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("want")).filter((F.size("want") > 0) & (F.size("want") < WINDOW))
+    own = written(own.select("item", F.size("want").alias("n"), "want"))
     lengths = {r.n: r.times for r in own.groupBy("n").agg(F.count("*").alias("times")).collect()}
     if not lengths:
         return None
+    kinds = [(n, number, mask) for n in sorted(lengths) for number, mask in enumerate(short_masks(n))]
+    hashed = lambda array, place, n, number, mask: F.xxhash64(F.lit(n), F.lit(number), *[F.element_at(array, (place + k).cast("int")) for k in mask])
+    seeds = reduce(DataFrame.unionByName, [own.filter(F.col("n") == n).select("item", "n", "want", hashed(F.col("want"), F.lit(1), n, number, mask).alias("seed")) for n, number, mask in kinds])
     at = docs.select("id", "t", F.explode(_places(F.col("t"), 1)).alias("here"))
-    fits = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: F.col("here") + n - 1 <= F.size("t"))
-    at = at.select("id", "here", F.explode(F.transform(fits, lambda n: F.slice("t", F.col("here"), n))).alias("got"))
-    at = at.select("id", "here", "got", F.size("got").alias("n"), F.xxhash64("got").alias("seed"))
-    met = at.join(F.broadcast(own) if sum(lengths.values()) <= BLOCK_SEEDS else own, ["n", "seed"]).filter("got = want")
-    return met.select("id", "item", F.col("n").alias("equal"), F.col("here").cast("long").alias("start"), F.col("n").alias("least"))
+    fits = F.array(*[F.when(F.col("here") + (n - 1) <= F.size("t"), hashed(F.col("t"), F.col("here"), n, number, mask)) for n, number, mask in kinds])
+    at = at.select("id", "t", "here", F.explode(F.array_compact(fits)).alias("seed"))
+    few = sum(times * len(short_masks(n)) for n, times in lengths.items()) <= BLOCK_SEEDS
+    met = at.join(F.broadcast(seeds) if few else seeds, "seed")
+    same = F.zip_with("want", F.slice("t", F.col("here"), F.col("n")), lambda x, y: x.eqNullSafe(y))
+    met = met.select("id", "item", "n", F.col("here").cast("long").alias("start"), F.size(F.filter(same, lambda x: x)).alias("equal"))
+    return met.filter(F.col("equal") >= F.col("n") - F.when(F.col("n") >= LEAST_SPACED, 1).otherwise(0)).select("id", "item", "equal", "start")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_windows, most_equal, first_token) of each document and item with a common passage.
 
-    ``n_windows`` counts distinct places of the document where a verified window
-    starts; tokens count from 1.
+    ``n_windows`` counts all places of the document where a window starts that agrees enough with
+    one of the item; tokens count from 1.
     """
     own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     seeds = written(item_seeds(items, item_col, item_text))
@@ -125,16 +145,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found += [] if short is None else [short]
     hits = reduce(DataFrame.unionByName, found)
     # A hot passage hits in many documents, and many times in each: places are counted per document first.
-    places = hits.groupBy("id", "item", "start").agg(F.max("equal").alias("equal"), F.max("least").alias("least")).filter("equal >= least")
+    places = hits.groupBy("id", "item", "start").agg(F.max("equal").alias("equal")).filter("equal IS NOT NULL")
     return places.groupBy("id", "item").agg(F.count("*").alias("n_windows"), F.max("equal").cast("long").alias("most_equal"), F.min("start").alias("first_token"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that share no passage with an item. Rows with a null id stay only if no such row shares one."""
+    """Rows of ``docs`` that share no passage with an item. Each row is judged by its own text, whatever its id and those of others."""
+    # Equal texts are equally contaminated; two hashes of 64 bits stand for a text.
+    own = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit(1)).alias("b"))
     mark = unused(docs, "found")
-    found = written(contaminated(docs, items, id_col, text_col).select(F.col("id").alias(mark)).distinct())
+    found = written(contaminated(docs.select(own.alias("row"), F.col(text_col).alias("text")), items, "row").select(F.col("id").alias(mark)).distinct())
     few = found.count() <= BLOCK_SEEDS
-    return docs.join(F.broadcast(found) if few else found, F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, own == F.col(mark), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,4 +166,43 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}
-ORACLES: dict[str, str] = {}
+_SPACES = " " * len(SEPARATORS)
+_MARKS = " || ".join(f"chr({ord(c)})" for c in SEPARATORS)
+
+
+def _tokens_sql(id_col: str, name: str) -> str:
+    return f"SELECT {id_col} AS {name}, list_filter(string_split(translate(lower(coalesce(text, '')), {_MARKS}, '{_SPACES}'), ' '), lambda x: x <> '') AS w"
+
+
+#: A window that differs in two places has one of three parts unchanged, one that differs in one place one of two.
+ORACLES = {
+    "op5_decontamination": f"""
+WITH d AS ({_tokens_sql("doc_id", "doc_id")}, row_number() OVER () AS doc_row FROM documents),
+i AS ({_tokens_sql("item_id", "item_id")} FROM benchmark),
+j AS (
+  SELECT item_id, w, least(len(w), {WINDOW}) AS n,
+         CASE WHEN len(w) >= {WINDOW} THEN {SUBSTITUTIONS} WHEN len(w) >= {LEAST_SPACED} THEN 1 ELSE 0 END AS s
+  FROM i WHERE len(w) > 0
+), v AS (
+  SELECT item_id, n, s, w[b : b + n - 1] AS want, s + 1 AS k
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS b FROM j)
+), parts AS (
+  SELECT item_id, n, s, want, p * n // k AS o, (p + 1) * n // k - p * n // k AS l
+  FROM (SELECT *, unnest(range(0, k)) AS p FROM v)
+), seeds AS (
+  SELECT *, array_to_string(want[o + 1 : o + l], ' ') AS piece FROM parts
+), places AS (
+  SELECT doc_id, doc_row, unnest(range(1, len(w) + 1)) AS q, w FROM d
+), pieces AS (
+  SELECT doc_id, doc_row, q, l, array_to_string(w[q : q + l - 1], ' ') AS piece
+  FROM places JOIN (SELECT DISTINCT l FROM seeds) ON q + l - 1 <= len(w)
+), met AS (
+  SELECT DISTINCT doc_id, doc_row, item_id, q - o AS a, n, s, want FROM pieces JOIN seeds USING (l, piece)
+), judged AS (
+  SELECT met.doc_id, item_id, a, n - s AS enough, len(list_filter(range(0, n), lambda x: w[a + x] = want[x + 1])) AS equal
+  FROM met JOIN d USING (doc_row) WHERE a >= 1 AND a + n - 1 <= len(w)
+)
+SELECT doc_id, item_id, count(DISTINCT a) AS n_windows, max(equal) AS most_equal, min(a) AS first_token
+FROM judged WHERE equal >= enough GROUP BY doc_id, item_id
+"""
+}
