@@ -4,35 +4,49 @@
 writer, so archives go to any file system that Spark knows. A payload that was
 seen before is a ``revisit`` record that names the first capture.
 ``read_archives`` parses the files by Content-Length. ``merge_index`` brings the
-captures, locally sorted by archive, into one order by URL key and timestamp:
-ranges of the key are dealt to tasks, and each task merges its runs with a
-loser tree.
+captures, locally sorted by archive, into one order by URL key and timestamp: runs are written
+in blocks, the blocks are cut at the ends of key ranges, and the task of a range merges
+its runs with a loser tree. Blocks reach it in the order of their first rows, so a run's next
+block is read when the merge comes to it, and a task holds no more than one block of each run, however long the runs are.
 
 Null and empty payloads are records of length zero. A null URL has an empty
-URL key. Rows with equal page ids are separate records. An empty table gives no
+URL key, a null timestamp is the epoch. Rows with equal page ids are separate records; captures of equal URL key and timestamp
+follow in the order of archive and position. An empty table gives no
 archives and an empty index.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import shared_folder, written
+from tessera.llm.shared import bounded_sample, shared_folder, written
 from tessera.sources.tables import table
 
 #: Payloads of fewer bytes are always stored, never referred to.
 MIN_REVISIT_BYTES = 100
 #: Records in one archive at most: it bounds what a reading task holds.
 RECORDS_PER_ARCHIVE = 2_000
+#: Captures in one block of a run at most.
+BLOCK_ROWS = 256
+#: Blocks at most whose first captures decide where key ranges end.
+SAMPLED_BLOCKS = 10_000
 EPOCH = "1970-01-01T00:00:00Z"
 INDEX_SCHEMA = "url_key string, capture_ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, position long"
+#: A block has an array for each column of the index.
+BLOCK_SCHEMA = ", ".join(f"{x.split()[0]} array<{x.split()[1]}>" for x in INDEX_SCHEMA.split(", "))
+#: The order of captures, and where it stands in a row of the index.
+ORDER = ("url_key", "capture_ts", "archive", "position")
+PLACES = [[x.split()[0] for x in INDEX_SCHEMA.split(", ")].index(name) for name in ORDER]
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def url_key(url: Column) -> Column:
@@ -48,7 +62,7 @@ def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, ts:
         F.col(id_col).cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-        ts.alias("capture_ts"),
+        F.coalesce(ts, F.lit(EPOCH)).alias("capture_ts"),
     ).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("size", F.octet_length("payload").cast("long"))
     # One row for each payload that occurs again. The copies are narrow, and the partial minimum meets a hot payload before the shuffle.
     first = (
@@ -71,6 +85,7 @@ def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, ts:
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Payload-Length", F.col("size").cast("string")),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))).otherwise(""),
+        F.when(revisit, line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit("\r\n"),
@@ -140,12 +155,16 @@ def _index_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000], strict=True), schema.types, strict=True)], schema=schema)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of the archives in ``path``; each archive is a run sorted by URL key and timestamp."""
+def _arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = to_arrow_schema(_parse_datatype_string(INDEX_SCHEMA))
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Index rows of the archives in ``path``; each archive is a run sorted by URL key and timestamp."""
+    schema = _arrow_schema(INDEX_SCHEMA)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(lambda batches: _index_rows(batches, schema), INDEX_SCHEMA)
 
@@ -156,11 +175,22 @@ class LoserTree:
     def __init__(self, runs: list[Iterable[tuple]]):
         self.sources = [iter(r) for r in runs]
         self.heads = [next(s, None) for s in self.sources]
-        self.k = max(1, len(runs))
+        self._build()
+
+    def _build(self) -> None:
+        self.k = max(1, len(self.sources))
         self.tree = [-1] * self.k
-        for run in range(len(runs)):
+        for run in range(len(self.sources)):
             self._play(run)
 
+    def add(self, run: Iterable[tuple]) -> None:
+        """One more run. Runs that have ended leave, and the others play again."""
+        live = [i for i, head in enumerate(self.heads) if head is not None]
+        source = iter(run)
+        self.sources = [*(self.sources[i] for i in live), source]
+        self.heads = [*(self.heads[i] for i in live), next(source, None)]
+        self._build()
+
     def _beats(self, a: int, b: int) -> bool:
         if self.heads[a] is None or self.heads[b] is None:
             return self.heads[b] is None and (self.heads[a] is not None or a < b)
@@ -177,45 +207,101 @@ class LoserTree:
             at //= 2
         self.tree[0] = run
 
-    def __iter__(self) -> Iterator[tuple]:
-        while self.sources and self.heads[self.tree[0]] is not None:
+    def before(self, bound: tuple | None) -> Iterator[tuple]:
+        """Elements below ``bound`` in order, or all; those from it on stay."""
+        while self.sources and (head := self.heads[self.tree[0]]) is not None and (bound is None or head < bound):
             best = self.tree[0]
-            yield self.heads[best]
+            yield head
             self.heads[best] = next(self.sources[best], None)
             self._play(best)
 
+    def __iter__(self) -> Iterator[tuple]:
+        return self.before(None)
+
+
+def merge_blocks(blocks: Iterable[list[tuple]]) -> Iterator[tuple]:
+    """One order of sorted blocks that come in the order of their first elements: no block is read before the merge comes to it."""
+    tree = LoserTree([])
+    for block in blocks:
+        yield from tree.before(block[0])
+        tree.add(block)
+    yield from tree
+
+
+def _as_blocks(columns: list[pa.Array], starts: list[int], schema: pa.Schema) -> list[pa.Array]:
+    """The columns as lists that begin at ``starts``."""
+    offsets = pa.array([*starts, len(columns[0])], pa.int32())
+    return [pa.ListArray.from_arrays(offsets, c).cast(t) for c, t in zip(columns, schema.types, strict=False)]
+
+
+def _orders(columns: list[pa.Array]) -> list[tuple]:
+    return list(zip(*(columns[i].to_pylist() for i in PLACES), strict=True))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Index rows in blocks; a block ends with its run, so at the latest where the order breaks."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        order, starts = _orders(batch.columns), [0]
+        for i in range(1, len(order)):
+            if i - starts[-1] == BLOCK_ROWS or order[i][2] != order[i - 1][2] or order[i] < order[i - 1]:
+                starts.append(i)
+        yield pa.RecordBatch.from_arrays(_as_blocks(batch.columns, starts, schema), schema=schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], ends: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks cut where a key range ends, each with the number of its range."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets = batch.column(0).offsets.to_pylist()
+        begins = {x - offsets[0] for x in offsets[:-1]}
+        columns = [c.flatten() for c in batch.columns]
+        ranges = [bisect_right(ends, x) for x in _orders(columns)]
+        starts = [i for i, x in enumerate(ranges) if i in begins or x != ranges[i - 1]]
+        arrays = [*_as_blocks(columns, starts, schema), pa.array([ranges[i] for i in starts], pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _merge(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Merges the blocks of one range."""
+    serial = itertools.count()
+
+    def blocks() -> Iterator[list[tuple]]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                rows = zip(*(batch.column(j)[b].values.to_pylist() for j in range(len(schema))), strict=True)
+                yield [(*(row[i] for i in PLACES), next(serial), row) for row in rows]
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the runs of one range. A run's rows come together and in order."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    rows = pa.Table.from_batches(batches).combine_chunks()
-    archive = rows["archive"].combine_chunks().dictionary_encode().indices.to_pylist()
-    starts = [i for i in range(len(archive)) if not i or archive[i] != archive[i - 1]]
-    keys, stamps = rows["url_key"].to_pylist(), rows["capture_ts"].to_pylist()
-    run = lambda a, b: ((keys[i].encode(), stamps[i], i) for i in range(a, b))
-    order = [i for _, _, i in LoserTree([run(a, b) for a, b in zip(starts, [*starts[1:], len(archive)], strict=True)])]
-    yield from rows.take(pa.array(order)).to_batches(max_chunksize=5000)
+    rows = (x[-1] for x in merge_blocks(blocks()))
+    while part := list(itertools.islice(rows, 5000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def merge_index(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """All captures in one order by URL key and timestamp.
+    """All captures in one order by URL key, timestamp, archive and position.
 
-    Sampled ranges of (URL key, timestamp, page id) go to tasks, so a hot URL is
-    spread by its timestamps and ids. A task holds the index rows of its range,
-    never a payload, and merges them run by run.
+    The order has no ties, so a hot URL, even with one timestamp, is spread over ranges. These end at quantiles of the first
+    captures of at most ``SAMPLED_BLOCKS`` blocks; the bound touches how even the ranges are, never the result.
     """
     n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.repartitionByRange(n, "url_key", "capture_ts", "page_id")
-    return dealt.sortWithinPartitions("archive", "url_key", "capture_ts", "position").mapInArrow(_merge, INDEX_SCHEMA)
+    rows, blocks = _arrow_schema(INDEX_SCHEMA), _arrow_schema(BLOCK_SCHEMA)
+    pieces = _arrow_schema(f"{BLOCK_SCHEMA}, range int")
+    runs = written(index.mapInArrow(lambda batches: _runs(batches, blocks), BLOCK_SCHEMA))
+    firsts = runs.select(F.struct(*[F.get(name, F.lit(0)).alias(name) for name in ORDER]).alias("first"))
+    sample = sorted(tuple(r.first) for r in bounded_sample(firsts, "first", SAMPLED_BLOCKS).collect())
+    ends = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    cut = runs.mapInArrow(lambda batches: _cut(batches, ends, pieces), f"{BLOCK_SCHEMA}, range int")
+    dealt = cut.repartitionByRange(len(ends) + 1, "range").sortWithinPartitions(*[F.get(name, F.lit(0)) for name in ORDER])
+    return dealt.drop("range").mapInArrow(lambda batches: _merge(batches, rows), INDEX_SCHEMA)
 
 
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as read back from its archive, through the merged index."""
     path = shared_folder(spark)
     write_archives(table(spark, folder, "pages"), path)
-    index = merge_index(written(read_archives(spark, path)))
+    index = merge_index(read_archives(spark, path))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
