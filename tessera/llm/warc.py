@@ -37,8 +37,8 @@ MIN_REVISIT_BYTES = 100
 RECORDS_PER_ARCHIVE = 2_000
 #: Captures in one block of a run at most.
 BLOCK_ROWS = 256
-#: Blocks at most whose first captures decide where key ranges end.
-SAMPLED_BLOCKS = 10_000
+#: Captures at most that decide where key ranges end, and of how many in a run one is asked.
+SAMPLED_CAPTURES, SAMPLE_STEP = 10_000, 32
 EPOCH = "1970-01-01T00:00:00Z"
 INDEX_SCHEMA = "url_key string, capture_ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, position long"
 #: A block has an array for each column of the index.
@@ -282,15 +282,17 @@ def _merge(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
 def merge_index(index: DataFrame, partitions: int | None = None) -> DataFrame:
     """All captures in one order by URL key, timestamp, archive and position.
 
-    The order has no ties, so a hot URL, even with one timestamp, is spread over ranges. These end at quantiles of the first
-    captures of at most ``SAMPLED_BLOCKS`` blocks; the bound touches how even the ranges are, never the result.
+    The order has no ties, so a hot URL, even with one timestamp, is spread over ranges. These end at quantiles of at most
+    ``SAMPLED_CAPTURES`` captures at regular places of the runs; the bound touches how even the ranges are, never the result.
     """
     n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, blocks = _arrow_schema(INDEX_SCHEMA), _arrow_schema(BLOCK_SCHEMA)
     pieces = _arrow_schema(f"{BLOCK_SCHEMA}, range int")
     runs = written(index.mapInArrow(lambda batches: _runs(batches, blocks), BLOCK_SCHEMA))
-    firsts = runs.select(F.struct(*[F.get(name, F.lit(0)).alias(name) for name in ORDER]).alias("first"))
-    sample = sorted(tuple(r.first) for r in bounded_sample(firsts, "first", SAMPLED_BLOCKS).collect())
+    size = F.size(ORDER[0])
+    at = F.explode(F.sequence(F.least(F.lit(SAMPLE_STEP // 2), F.floor(size / 2).cast("int")), size - 1, F.lit(SAMPLE_STEP))).alias("at")
+    asked = runs.select(at, *ORDER).select(F.struct(*[F.get(name, F.col("at")).alias(name) for name in ORDER]).alias("asked"))
+    sample = sorted(tuple(r.asked) for r in bounded_sample(asked, "asked", SAMPLED_CAPTURES).collect())
     ends = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
     cut = runs.mapInArrow(lambda batches: _cut(batches, ends, pieces), f"{BLOCK_SCHEMA}, range int")
     dealt = cut.repartitionByRange(len(ends) + 1, "range").sortWithinPartitions(*[F.get(name, F.lit(0)) for name in ORDER])
