@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
-from tessera.llm.shared import Scratch, unused, written
+from tessera.llm.shared import Scratch, small_batches, unused, written
 from tessera.sources.tables import table
 
 #: Ratio of the set sizes at a band's ends.
@@ -61,6 +61,8 @@ FAR = 0.8
 CENTRES = 256
 #: Rows up to which a list of keys is broadcast; beyond, texts are shuffled to meet it.
 BROADCAST_ROWS = 1_000_000
+#: Text bytes that a task takes at a time; shingles and index keys take some 50 bytes of memory for each meanwhile.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -196,7 +198,7 @@ def index_keys(m: Measure, bands: Layout, key: np.ndarray, of: np.ndarray, size:
 
 def _profile(m: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, text in ta.slices(batches, "text"):
+        for part, text in ta.slices(batches, "text", SLICE_BYTES):
             size, sig = _signature(*shingles(m, text), len(text))
             yield pa.RecordBatch.from_arrays([part["row"], part["id"], pa.array(size), pa.array(sig)], names=["row", "id", "n", "sig"])
 
@@ -207,7 +209,7 @@ def _index(m: Measure, bands: Layout):
     """Index rows of the distinct sets at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, text in ta.slices(batches, "text"):
+        for _, text in ta.slices(batches, "text", SLICE_BYTES):
             key, of = shingles(m, text)
             size, sig = _signature(key, of, len(text))
             new = np.zeros(len(text), bool)
@@ -230,7 +232,7 @@ def _verify(m: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         one = lambda t: np.sort(shingles(m, pa.array([t.as_py()], pa.string()))[0])
-        for part, text in ta.slices(batches, "text"):
+        for part, text in ta.slices(batches, "text", SLICE_BYTES):
             key, of = shingles(m, text)
             order = np.lexsort((key, of))
             cuts = np.searchsorted(of[order], np.arange(len(text) + 1))
@@ -321,7 +323,7 @@ def _sets(m: Measure):
     """(sig, n, diff): each set's elements, its difference to the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, text in ta.slices(batches, "text"):
+        for part, text in ta.slices(batches, "text", SLICE_BYTES):
             key, of = shingles(m, text)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(text)))])
             diff = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[np.argsort(of, kind="stable")].view(np.int64)))
@@ -537,13 +539,14 @@ def join(docs: DataFrame, m: Measure, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     docs = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_profile(m), f"row long, id {kind}, n long, sig long"))
+    with small_batches(spark):
+        rows = written(docs.mapInArrow(_profile(m), f"row long, id {kind}, n long, sig long"))
     own = rows.filter("id IS NOT NULL AND n > 0")
     # How many texts each band has: weights for the cost model, nothing else.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9)
     bands = Layout(m, {r.band: r.n for r in own.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()})
     index = docs.filter("id IS NOT NULL").mapInArrow(_index(m, bands), "key long, sig long, native boolean")
-    with Scratch(spark) as own_scratch:
+    with small_batches(spark), Scratch(spark) as own_scratch:
         with Scratch(spark) as first:
             groups = own_scratch.written(_groups(index, first))
         pairs, keyed = _stars(groups, own_scratch)

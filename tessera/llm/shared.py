@@ -6,6 +6,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """In what runs within, at most ``rows`` rows go to a Python worker at a time: JVM and worker both hold such a batch whole, the JVM in buffers of up to three times its bytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(was)) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -27,6 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at), pa.concat_arrays([column.slice(at, to - at)])
             at = to
+        del batch, column  # else they stay while the next batch is read
 
 
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

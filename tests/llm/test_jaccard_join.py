@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import jaccard_join as j
+from tessera.llm.shared import small_batches
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, sig string, component string"
@@ -190,3 +192,43 @@ def test_nulls_repeats_and_empty_tables(spark):
     kept = j.without_near_duplicates(docs, j.OP9)
     assert sorted((r.doc_id or 0) for r in kept.collect()).count(1) <= 2 and kept.filter("doc_id = 2").count() == 0
     assert j.grouped(j.join(docs.limit(0), j.OP9)).count() == 0 and j.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_index_takes_little_memory_and_is_the_same_in_any_slices(monkeypatch):
+    rnd = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rnd.integers(0, 5000, 500)]) for _ in range(1600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    bands = j.Layout(j.NEAR, {j.band_of(np.array([498])).item(): 1600})
+    tracemalloc.start()
+    try:
+        for _ in j._index(j.NEAR, bands)(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(" ".join(texts)) > 4 << 20 and peak < 80 << 20
+    found = []
+    for most in (1, 1 << 14, 4 << 20):
+        monkeypatch.setattr(j, "SLICE_BYTES", most)
+        found.append({tuple(r.values()) for b in j._index(j.NEAR, bands)(iter([batch.slice(0, 60)])) for r in b.to_pylist()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 60
+
+
+def test_texts_reach_tasks_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, seen, profile = spark.conf.get(name), [], j._profile
+
+    def watched(m):
+        seen.append(spark.conf.get(name))
+        return profile(m)
+
+    monkeypatch.setattr(j, "_profile", watched)
+    docs = spark.createDataFrame([(i, f"a b c {i % 2}", None, None) for i in range(4)], SCHEMA)
+    assert j.grouped(j.join(docs, j.NEAR)).count() == 4
+    assert seen == ["1000"] and spark.conf.get(name) == was
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    with pytest.raises(ZeroDivisionError), small_batches(spark):
+        assert max(r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()) == 1000
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == was
