@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
-from tessera.llm.shared import written
+from tessera.llm.shared import small_batches, written
 from tessera.sources.tables import table
 
 DEPTH = 6
@@ -98,14 +98,22 @@ class _Sums:
         self.keys.append(keys)
         self.n.append(n)
         self.held += len(keys)
-        if self.held > self.limit:
+        if self.held > min(self.limit, max(self.limit // 3, self.distinct + self.distinct // 2)):  # never far above what is distinct
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
-        n = np.bincount(back, np.concatenate(self.n), len(keys)).astype(np.int64)
+        # Each array goes as soon as the next one is there: what is held is copied once, not four times.
+        keys, self.keys = np.concatenate(self.keys), []
+        order = np.argsort(keys, kind="stable")  # merges runs, which ascend already
+        keys = keys[order]
+        n, self.n = np.concatenate(self.n), []
+        n = n[order]
+        del order
+        first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        keys = keys[first]
+        n = np.add.reduceat(n, first) if len(first) else n
         self.keys, self.n, self.held, self.distinct = [keys], [n], len(keys), len(keys)
         return keys, n
 
@@ -384,7 +392,8 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, counts of all words) of the texts of all rows."""
     partial = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "kind int, key long, n long")
-    counts = written(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    with small_batches(docs.sparkSession):
+        counts = written(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words, grams = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), F.col("n").alias("c")), counts.filter(F.col("kind") == GRAM).select("key", "n")
     w = words.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     shallow = _shallow(grams)
@@ -424,7 +433,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    seen = written(own.mapInArrow(run, f"row long, id {kind}, n_tokens long, head_known long, head_log double, head_score double, words array<long>, grams array<long>"))
+    with small_batches(docs.sparkSession):
+        seen = written(own.mapInArrow(run, f"row long, id {kind}, n_tokens long, head_known long, head_log double, head_score double, words array<long>, grams array<long>"))
     asked = seen.select(F.explode("grams").alias("key")).distinct().select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
     log10 = _log10(model.grams.withColumn("asked", F.lit(False)).unionByName(asked), model.shallow)
     values = words.select(F.lit(WORD).alias("kind"), F.col("h").alias("key"), F.log10(F.col("c") + 1).alias("value")).unionByName(log10.select(F.lit(GRAM).alias("kind"), "key", F.col("log10").alias("value")))

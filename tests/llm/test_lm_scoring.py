@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,3 +167,36 @@ def test_very_long_text(spark):
     table = m.contexts(model).toArrow()
     tree = m.SuffixTree.build(*(table[x].to_numpy().astype(np.int64) for x in ("depth", "context", "next", "n")))
     assert [got[1].score, got[2].score] == pytest.approx(tree.score(pa.array([long, "the nation"])).tolist(), rel=1e-3)
+
+
+def test_sums_merge_within_three_times_what_they_hold():
+    rnd = np.random.default_rng(3)
+    rows, run = 1 << 20, 1 << 15
+    sums, want = m._Sums(), 0
+    tracemalloc.start()
+    try:
+        for _ in range(rows // run):
+            keys = np.sort(rnd.integers(0, 1 << 62, run))
+            want ^= int(np.bitwise_xor.reduce(keys))
+            sums.add(keys, np.ones(run, np.int64))
+        del keys
+        tracemalloc.reset_peak()
+        keys, n = sums.merge()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(keys) == n.sum() == rows and int(np.bitwise_xor.reduce(keys)) == want
+    assert peak < 3 * 16 * rows
+
+
+def test_sums_equal_a_counter(monkeypatch):
+    monkeypatch.setattr(m, "HELD", 60)
+    rnd, want, sums = np.random.default_rng(4), Counter(), m._Sums()
+    assert [len(x) for x in sums.merge()] == [0, 0]
+    for _ in range(50):
+        keys, n = np.unique(rnd.integers(-20, 20, 30), return_counts=True)
+        sums.add(keys, n)
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+        assert sums.held <= 90
+    keys, n = sums.merge()
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want and (np.diff(keys) > 0).all()
