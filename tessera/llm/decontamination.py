@@ -8,6 +8,8 @@ is verified by comparing the windows around it token by token.
 
 Only the benchmark's seeds are broadcast, in blocks of at most ``BLOCK_SEEDS`` rows,
 so a document meets them without a shuffle; what is shuffled are verified hits.
+Documents are taken ``STRETCH`` places at a time and a hit keeps only the tokens that
+its windows can hold, so what a task holds at once doesn't grow with the hits of a text.
 Everything runs in built-in functions.
 
 Tokens are runs of characters other than white space and ASCII punctuation, in lower
@@ -34,8 +36,10 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 LEAST_SPACED = 7
 #: Seeds that are sent to every task at once.
 BLOCK_SEEDS = 500_000
-#: Tokens that the longest mask spans.
-SPAN = max(max(m) for m in MASKS) + 1
+#: Places of a document that are taken at a time: generated code holds all hits of a row at once, each with a copy of what it keeps of the row.
+STRETCH = 256
+#: Else a column of a row group is read into as many buffers outside of the heap at once as it has pieces of 8 MB, which are kept.
+READING = {"parquet.hadoop.vectored.io.enabled": "false"}
 #: Characters between tokens.
 SEPARATORS = "\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -46,6 +50,23 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def _stretches(docs: DataFrame) -> DataFrame:
+    """(id, first, last, past, t): texts in stretches of places. ``t`` also has the ``WINDOW - 1`` tokens on either side, as far as there are any.
+
+    Places ``first`` to ``last`` of ``t`` are the stretch's own; ``past`` tokens of the text precede ``t``.
+    The function of each stretch keeps Spark from joining this step to the generated code that follows.
+    """
+    n, rim = F.size("t"), WINDOW - 1
+    cut = lambda a: F.struct(
+        F.least(a, F.lit(rim + 1)).alias("first"),
+        (F.least(a, F.lit(rim + 1)) + F.least(F.lit(STRETCH), n - a + 1) - 1).alias("last"),
+        F.greatest(a - rim - 1, F.lit(0)).alias("past"),
+        F.slice("t", F.greatest(a - rim, F.lit(1)), F.least(a - 1, F.lit(rim)) + STRETCH + rim).alias("t"),
+    )
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(STRETCH)))
+    return docs.select("id", F.explode(F.transform(starts, cut)).alias("s")).select("id", "s.first", "s.last", "s.past", "s.t")
+
+
 def _around(array: Column, place: Column, before: Column) -> Column:
     """The tokens of all windows around a seed at a place from 1; null beyond the ends."""
     return F.transform(F.sequence(place - 1 - before, place - 2 + WINDOW), lambda k: F.get(array, k.cast("int")))
@@ -85,20 +106,15 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, item, equal, start): for each hit all windows around it that agree enough.
 
     Hits without such a window give a row of nulls: a condition here would move into the join, whose
-    generated code then would have to copy a document's tokens for every place.
+    generated code then would have to copy a stretch's tokens for every place.
     """
-    at = docs.select("id", "t", F.explode(_places(F.col("t"), SPAN)).alias("here"))
-    # The longest mask has the fewest places; the others get those at the end in the same row.
-    every = [_seed(F.col("t"), F.col("here"), mask, number) for number, mask in enumerate(MASKS)]
-    more = [
-        F.when(F.col("here") == F.size("t") - (SPAN - 1), _seed(F.col("t"), F.col("here") + k, mask, number))
-        for number, mask in enumerate(MASKS) for k in range(1, SPAN - max(mask))
-    ]
-    met = at.select("id", "t", "here", F.posexplode(F.array(*every, *more)).alias("nth", "seed")).join(F.broadcast(seeds), "seed")
-    shift = F.lit([0] * len(every) + [k for mask in MASKS for k in range(1, SPAN - max(mask))])
-    met = met.withColumn("here", F.col("here") + F.element_at(shift, F.col("nth") + 1))
+    at = _stretches(docs).select("id", "past", "t", F.explode(F.sequence("first", "last")).alias("here"))
+    every = [F.when(F.col("here") + max(mask) <= F.size("t"), _seed(F.col("t"), F.col("here"), mask, number)) for number, mask in enumerate(MASKS)]
+    met = at.select("id", "past", "t", "here", F.explode(F.array(*every)).alias("seed")).join(F.broadcast(seeds), "seed")
+    near, place = F.slice("t", F.greatest(F.col("here") - F.col("before"), F.lit(1)), F.col("before") + WINDOW), F.least("here", F.col("before") + 1)
+    met = met.select("id", "item", "before", "around", (F.col("past") + F.col("here")).alias("here"), near.alias("near"), place.alias("place"))
     # A place beyond either text outweighs all others of its window.
-    same = F.zip_with("around", _around(F.col("t"), F.col("here"), F.col("before")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(-WINDOW)))
+    same = F.zip_with("around", _around(F.col("near"), F.col("place"), F.col("before")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(-WINDOW)))
     met = met.select("id", "item", "here", "before", same.alias("same"))
     equal = F.transform(F.sequence(F.lit(1), F.col("before") + 1), lambda s: F.aggregate(F.slice("same", s, WINDOW), F.lit(0), lambda n, x: n + x))
     met = met.select("id", "item", (F.col("here") - F.col("before")).alias("from"), equal.alias("sums"))
@@ -117,13 +133,16 @@ def _short(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Dat
     kinds = [(n, number, mask) for n in sorted(lengths) for number, mask in enumerate(short_masks(n))]
     hashed = lambda array, place, n, number, mask: F.xxhash64(F.lit(n), F.lit(number), *[F.element_at(array, (place + k).cast("int")) for k in mask])
     seeds = reduce(DataFrame.unionByName, [own.filter(F.col("n") == n).select("item", "n", "want", hashed(F.col("want"), F.lit(1), n, number, mask).alias("seed")) for n, number, mask in kinds])
-    at = docs.select("id", "t", F.explode(_places(F.col("t"), 1)).alias("here"))
+    at = _stretches(docs).select("id", "past", "t", F.explode(F.sequence("first", "last")).alias("here"))
     fits = F.array(*[F.when(F.col("here") + (n - 1) <= F.size("t"), hashed(F.col("t"), F.col("here"), n, number, mask)) for n, number, mask in kinds])
-    at = at.select("id", "t", "here", F.explode(F.array_compact(fits)).alias("seed"))
     few = sum(times * len(short_masks(n)) for n, times in lengths.items()) <= BLOCK_SEEDS
+    kept = F.slice("t", F.col("here"), F.lit(max(lengths)))
+    at = at.select("id", "past", "t" if few else kept.alias("t"), "here", F.explode(fits).alias("seed"))
     met = at.join(F.broadcast(seeds) if few else seeds, "seed")
-    same = F.zip_with("want", F.slice("t", F.col("here"), F.col("n")), lambda x, y: x.eqNullSafe(y))
-    met = met.select("id", "item", "n", F.col("here").cast("long").alias("start"), F.size(F.filter(same, lambda x: x)).alias("equal"))
+    near = F.slice("t", F.col("here") if few else F.lit(1), F.col("n"))
+    met = met.select("id", "item", "n", "want", (F.col("past") + F.col("here")).cast("long").alias("start"), near.alias("near"))
+    same = F.zip_with("want", "near", lambda x, y: x.eqNullSafe(y))
+    met = met.select("id", "item", "n", "start", F.size(F.filter(same, lambda x: x)).alias("equal"))
     return met.filter(F.col("equal") >= F.col("n") - F.when(F.col("n") >= LEAST_SPACED, 1).otherwise(0)).select("id", "item", "equal", "start")
 
 
@@ -161,7 +180,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with passages of the benchmark: a row for each document and item."""
-    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = contaminated(table(spark, folder, "documents", **READING), table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "most_equal", "first_token")
 
 

@@ -3,6 +3,8 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,39 @@ def test_very_long_text_is_searched_whole(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-20]))], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert [tuple(r) for r in d.contaminated(docs, items).collect()] == [(1, 1, 8, 13, 199_981)]
+
+
+@pytest.mark.parametrize("stretch", [1, 4, 17])
+def test_stretches_change_nothing(spark, monkeypatch, stretch):
+    rnd = random.Random(5)
+    items = [(k, " ".join(f"w{rnd.randrange(40)}" for _ in range(n))) for k, n in enumerate([13, 14, 22, 12, 7, 3, 1])]
+    docs = []
+    for i in range(30):
+        words = [f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(0, 50))]
+        y = toks(rnd.choice(items)[1])
+        y[rnd.randrange(len(y))] = "other"
+        docs.append((i, " ".join(words + y + words[:i])))
+    monkeypatch.setattr(d, "STRETCH", stretch)
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert len(want) > 20 and {(r.id, r.item): (r.n_windows, r.most_equal, r.first_token) for r in found.collect()} == want
+
+
+def test_long_text_full_of_hits_fits_memory(spark):
+    item = [f"b{k}" for k in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(item * 2000))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "b4 b5 b6")], "item_id long, text string")
+    assert sorted(map(tuple, d.contaminated(docs, items).collect())) == [(1, 1, 16_000, 13, 1), (1, 2, 2000, 3, 5)]
+
+
+def test_large_row_groups_are_not_held_outside_the_heap(spark, tmp_path):
+    rnd = random.Random(6)
+    item = " ".join(f"b{k}" for k in range(20))
+    texts = [rnd.randbytes(100_000).hex() for _ in range(400)] + [item]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    pq.write_table(pa.table({"item_id": [7], "text": [item]}), tmp_path / "benchmark.parquet")
+    kind = spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+    held = lambda: sum(x.getTotalCapacity() for x in spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(kind) if x.getName() == "direct") / 1e6
+    before = held()
+    assert [tuple(r) for r in d.op5_decontamination(spark, str(tmp_path)).collect()] == [(400, 7, 8, 13, 1)]
+    assert held() - before < 40
